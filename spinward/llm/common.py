@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spinward.session import ship
+
 #: Lower-cases A-Z only, byte by byte, so UTF-8 sequences stay as they are.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -20,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound what one Arrow batch holds, by rows and, where Spark knows the setting, by bytes."""
+    """Bound what one Arrow batch holds, by rows and, where Spark knows the setting, by bytes; give workers the code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -72,8 +74,3 @@ def pieces(values: list, sizes: list[int], limit: int) -> Iterator[slice]:
         total += n
     if lo < len(values):
         yield slice(lo, len(values))
-
-
-def shipped(spark: SparkSession) -> None:
-    """Workers import this package from the driver's path; ship nothing else."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

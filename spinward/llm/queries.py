@@ -83,9 +83,9 @@ ORACLE: dict[str, str] = {
         d AS (SELECT page_id, octet_length(body) AS payload_bytes, body, max(page_id) OVER (PARTITION BY sha1(body)) AS last FROM p),
         bits AS (SELECT *, sha1(body) AS hex FROM d)
         SELECT page_id, payload_bytes,
-               list_reduce(list_transform(range(0, 4), k -> (
-                   list_reduce(list_transform(range(0, 8), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                       1 + CAST((CAST('0x' || substr(hex, 1 + 10 * k, 10) AS BIGINT) >> (35 - 5 * j)) & 31 AS INT), 1)), (a, b) -> a || b))), (a, b) -> a || b) AS payload_digest,
+               list_reduce(list_transform(range(0, 4), lambda k: (
+                   list_reduce(list_transform(range(0, 8), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + CAST((CAST('0x' || substr(hex, 1 + 10 * k, 10) AS BIGINT) >> (35 - 5 * j)) & 31 AS INT), 1)), lambda a, b: a || b))), lambda a, b: a || b) AS payload_digest,
                CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM bits""",
