@@ -2,9 +2,9 @@
 
 A word is a match of the split pattern. Token-position rows of all words join the merge table; each step contracts the
 leftmost pair of least rank of every word, until no pair of a word can merge. The bytes of a word come back from its ids
-by an ordered aggregation. Ids and bytes of a document are those of its words in turn, so a word is encoded once for a
-partition, however often it occurs. The words that a partition keeps are bounded by `cache_size`; beyond that it forgets
-them and encodes what it meets again anew.
+by an ordered aggregation. Ids and bytes of a document are those of its words in turn, so a word is encoded once,
+however often it occurs. A worker keeps the words of one partition for its next ones, in two generations of `cache_size`
+words; words that one generation has not met are forgotten and encoded anew when they come again.
 
 Null and empty texts have no ids. Repeated rows give repeated results, an empty table gives none, null ids stay null.
 Other columns of the input are not read.
@@ -39,6 +39,27 @@ WITH RECURSIVE bpe AS (
 SELECT w, p, t FROM bpe JOIN last USING (w, step)
 """
 
+#: The same for long words: all occurrences of the pair of least rank, from the left, none over another. A pair that holds
+#: a merged token ranks behind it, so this is what one contraction after the other comes to. It stops after some steps.
+ENCODE_LONG = """
+WITH RECURSIVE bpe AS (
+    SELECT w, p, t, 0 AS step FROM seed
+    UNION ALL
+    (WITH pair AS (
+        SELECT a.w, a.p, m.n
+        FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS r FROM bpe WHERE step < {steps}) a
+        JOIN merges m ON a.t = m.l AND a.r = m.r),
+    low AS (SELECT w, min(n) AS n FROM pair GROUP BY w),
+    run AS (SELECT pair.w, p, n, p - row_number() OVER (PARTITION BY pair.w ORDER BY p) AS run FROM pair JOIN low USING (w, n)),
+    hit AS (SELECT w, p, n FROM (SELECT *, p - min(p) OVER (PARTITION BY w, run) AS nth FROM run) WHERE nth % 2 = 0)
+    SELECT x.w, (row_number() OVER (PARTITION BY x.w ORDER BY x.p) - 1)::INT, coalesce(h.n, x.t), x.step + 1
+    FROM bpe x JOIN low ON x.w = low.w LEFT JOIN hit h ON h.w = x.w AND h.p = x.p LEFT JOIN hit g ON g.w = x.w AND g.p = x.p - 1
+    WHERE g.w IS NULL)
+), last AS (SELECT w, max(step) AS step FROM bpe GROUP BY w)
+SELECT w, p, t, step FROM bpe JOIN last USING (w, step)
+"""
+LONG = 64  # bytes
+
 DECODE = """
 SELECT w, list(t ORDER BY p) AS ids, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
 FROM fixpoint JOIN vocabulary v ON v.id = t GROUP BY w ORDER BY w
@@ -89,12 +110,21 @@ class WordCodec:
         )
 
     def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """For each word its ids, as little-endian 32-bit integers, and what these ids decode to."""
+        """For each word its ids, as little-endian 32-bit integers, and what these ids decode to. Words are short or all long."""
         if not words:
             return []
-        self.db.register("seed_", self.seed(words))
+        rows = self.seed(words)
+        self.db.register("seed_", rows)
         self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT * FROM seed_")
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE fixpoint AS {ENCODE}")
+        if max(map(len, words)) <= LONG:
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE fixpoint AS {ENCODE}")
+        else:  # some steps at a time, so that a query holds a few states of the words, not all
+            steps = max(4, 2_000_000 // rows.num_rows)
+            while True:
+                self.db.execute(f"CREATE OR REPLACE TEMP TABLE fixpoint AS {ENCODE_LONG.format(steps=steps)}")
+                if self.db.execute("SELECT coalesce(max(step), 0) FROM fixpoint").fetchall()[0][0] < steps:
+                    break
+                self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT w, p, t FROM fixpoint")
         out = self.db.sql(DECODE).to_arrow_table().combine_chunks()
         self.db.unregister("seed_")
         ids = out.column("ids").combine_chunks()
@@ -109,6 +139,39 @@ def _codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
+class WordTable:
+    """Ids and bytes of the words met last: a young generation and the one before it."""
+
+    def __init__(self, codec: WordCodec) -> None:
+        self.codec = codec
+        self.ids: dict[str, bytes] = {}
+        self.bytes: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def meet(self, words: set[str], words_per_query: int, cache_size: int) -> None:
+        """Afterwards all of these words are in `ids` and `bytes`."""
+        if len(self.ids) > cache_size:
+            self.old, self.ids, self.bytes = (self.ids, self.bytes), {}, {}
+        ids, decoded = self.old
+        new = []
+        for w in words.difference(self.ids):
+            if w in ids:
+                self.ids[w], self.bytes[w] = ids[w], decoded[w]
+            else:
+                new.append(w)
+        raw_words = sorted(((w.encode(), w) for w in new), key=lambda x: len(x[0]))  # few steps run over many rows
+        long = next((i for i, (b, _) in enumerate(raw_words) if len(b) > LONG), len(raw_words))
+        for some in (raw_words[:long], raw_words[long:]):
+            for part in pieces(some, [len(b) for b, _ in some], 8 * words_per_query):
+                for (_, w), (a, b) in zip(some[part], self.codec.encode([b for b, _ in some[part]]), strict=True):
+                    self.ids[w], self.bytes[w] = a, b
+
+
+@functools.lru_cache(1)
+def _table(path: str) -> WordTable:
+    return WordTable(_codec(path))
+
+
 @functools.lru_cache(4)
 def _splitter(pattern: str):
     import regex
@@ -122,24 +185,14 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: st
     docs = keep(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, split = _codec(ranks_path), _splitter(pattern)
-        ids_of: dict[str, bytes] = {}
-        bytes_of: dict[str, bytes] = {}
+        known, split = _table(ranks_path), _splitter(pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in pieces(texts, [len(t) for t in texts], 2 << 20):
                 words = [split.findall(t) for t in texts[part]]
-                if len(ids_of) > cache_size:
-                    ids_of.clear()
-                    bytes_of.clear()
-                new = [w for w in set().union(*words) if w not in ids_of]
-                # short and long words apart, so that few steps run over many rows
-                new.sort(key=len)
-                for pos in pieces(new, [len(w) for w in new], 8 * words_per_query):
-                    for w, (a, b) in zip(new[pos], codec.encode([w.encode() for w in new[pos]]), strict=True):
-                        ids_of[w], bytes_of[w] = a, b
+                known.meet(set().union(*words), words_per_query, cache_size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], pa.array([b"".join(map(ids_of.__getitem__, x)) for x in words], pa.binary()), pa.array([b"".join(map(bytes_of.__getitem__, x)) for x in words], pa.binary())],
+                    [batch.column(0)[part.start : part.stop], pa.array([b"".join(map(known.ids.__getitem__, x)) for x in words], pa.binary()), pa.array([b"".join(map(known.bytes.__getitem__, x)) for x in words], pa.binary())],
                     names=[id_col, "ids", "decoded"],
                 )
 
