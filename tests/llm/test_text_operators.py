@@ -1,0 +1,183 @@
+"""Token counts, secrets, fingerprints, licenses, quality and byte-level BPE against brute force."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from spinward.llm import bpe, imatch, licenses, quality, secrets, token_counts
+from spinward.llm.queries import QUERIES
+from tests.llm.helpers import TEXTS, base_spans, edge_docs, empty_docs
+
+
+def docs_of(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_token_counts_equal_the_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = docs_of(spark, sf_dir)
+    for r in QUERIES["op1_token_counts"](spark, sf_dir).collect():
+        n = len(library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((texts[r.doc_id] or "").encode()), n > 2048)
+    got = token_counts.token_counts(edge_docs(spark), P.path("word_bpe_49k.json"), cache_size=3).collect()
+    assert len(got) == len(TEXTS) + 4
+    want = sorted(len(library.encode(t or "", add_special_tokens=False).ids) for t in [*TEXTS, "", TEXTS[10], "no id here at all", None])
+    assert sorted(r.n_tokens for r in got) == want
+    assert token_counts.token_counts(empty_docs(spark), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_bpe_equals_the_library(spark, sf_dir):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = docs_of(spark, sf_dir)
+    for r in QUERIES["op10_byte_bpe"](spark, sf_dir).collect():
+        text = texts[r.doc_id] or ""
+        ids = library.encode_ordinary(text)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    got = bpe.bpe_round_trip(edge_docs(spark), path, P.PATTERN, words_per_query=5, cache_size=4).collect()
+    want = sorted(np.array(library.encode_ordinary(t or ""), "<u4").tobytes() for t in [*TEXTS, "", TEXTS[10], "no id here at all", None])
+    assert sorted(bytes(r.ids) for r in got) == want
+    assert bpe.bpe_round_trip(empty_docs(spark), path, P.PATTERN).count() == 0
+
+
+@pytest.fixture(scope="module")
+def markov(spark):
+    return secrets.train_markov(secrets.labelled_samples(spark))
+
+
+def test_base_spans_equal_brute_force(spark, sf_dir, markov):
+    texts = docs_of(spark, sf_dir)
+    for r in QUERIES["op2_secret_scan"](spark, sf_dir).collect():
+        want = base_spans(texts[r.doc_id] or "")
+        kinds = [s[3] for s in want]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
+        said = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    got = secrets.secret_spans(edge_docs(spark), markov, carry=("text",)).collect()
+    assert len(got) == len(TEXTS) + 4
+    for r in got:
+        assert [tuple(s) for s in r.base] == base_spans(r.text or "")
+        assert set(map(tuple, r.base)) <= set(map(tuple, r.spans))
+    assert secrets.secret_spans(empty_docs(spark), markov).count() == 0
+
+
+def test_markov_models_part_random_strings_from_identifiers(spark, markov):
+    rows = spark.createDataFrame([(1, "kQ7xP2vN9rT4wY8zB3mL6cJ1"), (1, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (0, "thisIsAnOrdinaryIdentifierName"), (0, "max_connection_pool_size_limit"), (0, "--------------------------------"), (0, "src/main/resources/templates"), (0, "20240131-20240229-20240331")], "label int, text string")
+    for r in rows.withColumn("llr", markov.ratio(rows.text)).collect():
+        assert (r.llr >= 10) == bool(r.label), r
+
+
+def test_redaction_covers_all_spans(spark, markov):
+    docs = spark.createDataFrame([(1, "é token = abcdefgh1234 end", 26), (2, None, None), (3, "clean text", 10)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in secrets.redact_secrets(docs, markov).collect()}
+    assert (got[1].text, got[1].n_chars) == ("é [SECRET] end", 14)
+    assert got[2].text is None and got[3].text == "clean text"
+
+
+def test_fingerprints_follow_the_contract(spark, sf_dir):
+    texts = docs_of(spark, sf_dir)
+    order = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in QUERIES["op3_fingerprints"](spark, sf_dir).collect()}
+    assert sorted(got) == sorted(texts)
+    by_text = {}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    maker = imatch.Fingerprinter(imatch.fit_lexicon(docs))
+    for i, d in enumerate(order):
+        text, after = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        r = got[d]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert r.fingerprint == imatch.text_of(maker.digests(text.encode())) and r.edited_fingerprint == imatch.text_of(maker.digests(new.encode()))
+        assert r.near_next == imatch.likeness(maker.digests(text.encode()), maker.digests(after.encode()))
+        assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
+        assert 0 <= r.near_edited <= 1
+    assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()])
+
+
+def test_fingerprints_over_several_buckets_and_edge_cases(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lexicon = imatch.fit_lexicon(docs)
+    one = {r.doc_id: r for r in imatch.compare_neighbours(docs, lexicon).collect()}
+    many = {r.doc_id: r for r in imatch.compare_neighbours(docs, lexicon, rows_per_bucket=7).collect()}
+    assert one == many
+    got = imatch.compare_neighbours(edge_docs(spark), imatch.fit_lexicon(edge_docs(spark)), rows_per_bucket=3).collect()
+    assert len(got) == len(TEXTS) + 4
+    assert imatch.compare_neighbours(empty_docs(spark), []).count() == 0
+    assert imatch.fit_lexicon(empty_docs(spark)) == []
+    assert imatch.fingerprints(edge_docs(spark), [b"the"]).count() == len(TEXTS) + 4
+
+
+def test_document_frequencies(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    got = {bytes(r.term): r.n for r in imatch.document_frequencies(docs, most_held=100).collect()}
+    assert got[b"the"] == sum(b"the" in imatch.terms(t) for t in texts)
+    assert len(got) == len(set().union(*map(imatch.terms, texts)))
+
+
+def cosine(model, text):
+    words = licenses._words(text)
+    x = {w: words.count(w) * model.idf.get(w, model.unseen) for w in set(words)}
+    norm = sum(v * v for v in x.values()) ** 0.5
+    best = max(((sum(x.get(w, 0) * v for w, v in model.vector(t).items()) / norm, lic) for lic, t in model.templates), key=lambda b: (round(b[0], 9), [-ord(c) for c in b[1]])) if norm else (0, None)
+    return best if best[0] >= model.threshold - 1e-9 else (0, None)
+
+
+def test_licenses_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = licenses.fit_licenses(docs)
+    got = {(r.key, r.unit): (r.license, r.score) for r in licenses.license_matches(docs, model).collect()}
+    n = 0
+    for r in docs.selectExpr("text", "xxhash64(text) AS key").collect():
+        for unit, text in [(-1, r.text or ""), *enumerate((r.text or "").split("\n"))]:
+            score, lic = cosine(model, text)
+            assert got.get((r.key, unit), (None,))[0] == lic
+            n += lic is not None
+    assert n
+
+
+def test_license_inheritance(spark):
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License"),
+        (2, "a/b/c/x.py", "plain words only"),
+        (3, "a/b/COPYING", "Licensed under the Apache License, Version 2.0"),
+        (4, "a/z.py", "plain"),
+        (5, "other/z.py", None),
+        (6, None, ""),
+        (7, "a/b/c/y.py", "Licensed under CC BY 4.0\n" + "many other words of a long program " * 9),
+        (7, "a/b/c/y.py", "Licensed under CC BY 4.0\n" + "many other words of a long program " * 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = sorted(((r.doc_id, r.license, r.how, r.origin) for r in licenses.license_scan(docs, licenses.fit_licenses(docs)).collect()), key=str)
+    assert got == [(1, "MIT", "header", None), (2, "Apache-2.0", "inherited", "a/b"), (3, "Apache-2.0", "header", None), (4, "MIT", "inherited", "a"), (5, None, None, None), (6, None, None, None), (7, "CC-BY-4.0", "header", None), (7, "CC-BY-4.0", "header", None)]
+    assert licenses.license_scan(docs.limit(0), licenses.fit_licenses(docs.limit(0))).count() == 0
+
+
+def test_quality_on_rows_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op7_quality"](spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    held = [r for r in labels if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert all(got[r.doc_id].held_out for r in held)
+    assert np.mean([got[r.doc_id].predicted == r.quality for r in held]) > 0.95
+    assert np.mean([got[r.doc_id].predicted for r in held if r.quality == 1]) > 0.97
+
+
+def test_quality_edge_cases(spark):
+    docs, labels = edge_docs(spark), spark.createDataFrame([(0, 1), (3, 1), (9, 0)], "doc_id long, quality int")
+    for known in (labels, labels.where("quality = 1"), labels.limit(0)):
+        model = quality.fit_quality(docs, known)
+        got = quality.score_quality(docs, model).collect()
+        assert len(got) == len(TEXTS) + 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+        assert quality.keep_good(docs, model).columns == docs.columns
+    assert quality.score_quality(empty_docs(spark), quality.fit_quality(empty_docs(spark), labels)).count() == 0
