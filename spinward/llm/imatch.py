@@ -7,8 +7,8 @@ terms, however many documents there are, so it fits the driver and the workers.
 subsets of the lexicon, from sparse to dense; a subset's digest is that of the document's distinct terms in it, sorted.
 The likeness of two fingerprints is the share of subsets with equal digests among those that hold a term of either.
 
-A document without a term of the lexicon gets a digest of its whole text in place of subsets, so equal texts always have
-equal fingerprints; it is unlike every other text. Null texts count as empty. Repeated rows give repeated results, an
+A document without a term in any subset gets a digest of its whole text in their place, so equal texts always have equal
+fingerprints and it is unlike every other text. Null texts count as empty. Repeated rows give repeated results, an
 empty table gives none. Other columns of the input are not read.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spinward.llm.common import bounded_batches, keep, raw
 
 #: Shares of the lexicon that a subset draws, and so many subsets of each.
-RATES, EACH = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 6
+RATES, EACH = (1 / 32, 1 / 64, 1 / 128, 1 / 256), 8
 K = len(RATES) * EACH
 _TERMS = bytes((c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c) for c in range(256))
 
@@ -59,7 +59,7 @@ def document_frequencies(docs: DataFrame, *, text_col: str = "text", most_held:
     return keep(docs, text_col).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def fit_lexicon(docs: DataFrame, *, text_col: str = "text", least: float = 0.001, most: float = 0.25, floor: int = 2) -> list[bytes]:
+def fit_lexicon(docs: DataFrame, *, text_col: str = "text", least: float = 0.003, most: float = 0.5, floor: int = 2) -> list[bytes]:
     """The terms within the band, sorted. At least `floor` documents must hold a term."""
     n = docs.count()
     low, high = max(floor, least * n), max(floor, most * n)
@@ -80,10 +80,8 @@ class Fingerprinter:
             self.of[t] = (own, xxhash.xxh64_intdigest(t, seed))
 
     def digests(self, text: bytes) -> np.ndarray:
-        """K digests, 0 for subsets without a term; a single one if no term of the text is in the lexicon."""
+        """K digests, 0 for subsets without a term; those of the whole text if no subset has one."""
         found = sorted({self.of[t] for t in terms(text) if t in self.of}, key=lambda x: x[1])
-        if not found:
-            return np.frombuffer(hashlib.sha256(b"whole:" + text).digest(), ">u4").astype(np.uint32)
         member = np.array([x[0] for x in found], np.uint64)
         names = np.array([x[1] for x in found], np.uint64)
         out = np.zeros(K, np.uint32)
@@ -91,7 +89,7 @@ class Fingerprinter:
             own = names[(member >> np.uint64(r)) & np.uint64(1) == 1]
             if len(own):
                 out[r] = xxhash.xxh32_intdigest(own.tobytes()) | 1
-        return out
+        return out if out.any() else np.frombuffer(hashlib.sha256(b"whole:" + text).digest(), ">u4").astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
