@@ -87,7 +87,7 @@ class WordCodec:
                     right.append(b)
                     made.append(rank)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "800MB", "temp_directory": ""})
         self.db.register("merges_", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "n": pa.array(made, pa.int32())}))
         self.db.register("vocabulary_", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         for name in ("merges", "vocabulary"):
@@ -119,7 +119,7 @@ class WordCodec:
         if max(map(len, words)) <= LONG:
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE fixpoint AS {ENCODE}")
         else:  # some steps at a time, so that a query holds a few states of the words, not all
-            steps = max(4, 2_000_000 // rows.num_rows)
+            steps = max(1, 2_000_000 // rows.num_rows)
             while True:
                 self.db.execute(f"CREATE OR REPLACE TEMP TABLE fixpoint AS {ENCODE_LONG.format(steps=steps)}")
                 if self.db.execute("SELECT coalesce(max(step), 0) FROM fixpoint").fetchall()[0][0] < steps:
