@@ -9,7 +9,7 @@ Equal sets are one node, known by a digest of 128 bits. Nodes are linked in thre
    the first members for the similarity (prefixes are `extra` members longer than needed) fall out. A longer list ties
    its nodes to one of them.
 2. Families. Nodes tied by candidates, directly or not, form a family, found by passing on least labels.
-3. Links. A family's sets meet in one task, or in tasks for pairs of blocks if it has more than `block` nodes.
+3. Links. A family's sets meet in one task; one of more than `block` nodes is dealt over several (see `_link_big`).
    There `link_sets` joins them exactly: index lists kept by size, in blocks that carry the best position and the
    component of their entries, so that whole blocks are passed over; and answers of a set are derived from those of a
    similar set by the triangle inequality on the size of symmetric differences, before sets are compared at all.
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinward.llm.common import bounded_batches, cut, keep, raw
@@ -406,26 +406,25 @@ def link_sets(sets: list[np.ndarray], *, block: int = 32, stats: dict | None = N
 
 
 def _link_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root, big) of sets that come family by family."""
+    """(node, root) of sets that come family by family and task by task."""
     key, nodes, sets = None, [], []
-    out: list[tuple[int, int, bool]] = []
+    out: list[tuple[int, int]] = []
 
     def close() -> None:
         if len(nodes) > 1:
-            roots = link_sets(sets)
-            out.extend((x, nodes[r], key[1] >= 0) for x, r in zip(nodes, roots, strict=True))
+            out.extend((x, nodes[r]) for x, r in zip(nodes, link_sets(sets), strict=True))
 
     def flush() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["node", "root", "big"])
+        columns = list(zip(*out, strict=True)) or [[]] * 2
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "root"])
         out.clear()
         return batch
 
     for batch in batches:
-        for family, pair, node, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if key != (family, pair):
+        for family, task, node, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if key != (family, task):
                 close()
-                key, nodes, sets = (family, pair), [], []
+                key, nodes, sets = (family, task), [], []
             if not nodes or nodes[-1] != node:
                 nodes.append(node)
                 sets.append(np.frombuffer(members, np.uint64))
@@ -434,7 +433,48 @@ def _link_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield flush()
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", short: int = 24, extra: int = 3, block: int = 20_000) -> DataFrame:
+def _link(sets: DataFrame) -> DataFrame:
+    """(node, root) within each (family, task) of (family, task, node, members)."""
+    dealt = sets.select("family", "task", "node", "members").repartition("family", "task").sortWithinPartitions("family", "task", "node")
+    return cut(dealt.mapInArrow(_link_families, "node long, root long"), "links")
+
+
+def _link_big(sets: DataFrame, block: int, hubs: int = 1000) -> DataFrame:
+    """(node, root) of families too large for one task: (node, family, of, members).
+
+    First the sets of every block meet about `hubs` sets of their family, the same in all blocks. That ties most of a
+    group of copies together. What is not with the family's largest component then meets every block, in chunks. Two sets
+    of the largest component need not be compared any more, so no link is lost, and work grows with the number of blocks
+    times the chunks that are left.
+    """
+    hubs = max(1, min(hubs, block))
+    parts = F.ceil(F.col("of") / block).cast("int")
+    mine = sets.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int"))
+    hub = F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("of") / hubs)) == 0
+    every = F.sequence(F.lit(0), parts - 1)
+    first = _link(mine.select("family", F.explode(F.when(hub, every).otherwise(F.array("own"))).alias("task"), "node", "members"))
+    ties = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = cut(families(ties).withColumnRenamed("family", "root"), "roots")
+
+    of = sets.select("node", "family").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = of.groupBy("family", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    left = of.join(largest, "family").where("root <> largest").select("node", "family")
+    chunks = left.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    if chunks.isEmpty():
+        return found
+    again = mine.join(chunks, "family").join(left.select("node", F.lit(True).alias("left")), "node", "left")
+    # a task is a chunk and a block; sets that are left also go to all blocks of their chunk
+    chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
+    of_block = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c * parts + F.col("own"))
+    of_chunk = F.transform(every, lambda b: chunk * parts + b)
+    tasks = F.when(F.col("left"), F.array_distinct(F.concat(of_block, of_chunk))).otherwise(of_block)
+    second = _link(again.select("family", F.explode(tasks).alias("task"), "node", "members"))
+    both = ties.unionByName(second.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return families(both).withColumnRenamed("family", "root")
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", short: int = 24, extra: int = 3, block: int = 10_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) for each row of docs."""
     bounded_batches(docs.sparkSession)
     made = cut(shingle_sets(docs, id_col=id_col, text_col=text_col), "sets")
@@ -459,17 +499,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), made], names=["node", "family", "of", "members"]).filter(right)
 
     shipped = rows.mapInArrow(members, "node long, family long, of long, members binary")
-    blocks = F.ceil(F.col("of") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
-    # -1: a family of one block; else the pair of blocks, as one number
-    pairs = F.when(blocks == 1, F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j)))
-    dealt = shipped.select("family", F.explode(pairs).alias("pair"), "node", "members").repartition("family", "pair").sortWithinPartitions("family", "pair", "node")
-    links = cut(dealt.mapInArrow(_link_families, "node long, root long, big boolean"), "links")
-    ties_of_big = links.where("big")
-    roots = links.where("NOT big").select("node", "root")
-    if not ties_of_big.isEmpty():
-        whole = families(ties_of_big.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = roots.unionByName(whole.select("node", F.col("family").alias("root")))
+    roots = _link(shipped.where(F.col("of") <= block).withColumn("task", F.lit(0))).select("node", "root")
+    big = family.join(n_of.where(F.col("of") > block), "family").select("node", "family", "of")
+    if not big.isEmpty():
+        roots = roots.unionByName(_link_big(cut(shipped.where(F.col("of") > block), "big"), block))
     known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     answer = known.join(least, "root").select("digest", F.col("node").alias("of_node"), "component_id")
@@ -477,12 +510,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
 
 
-def keep_one(docs: DataFrame, components: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is that of their component: one document of each group, and rows without an id.
+def keep_one(docs: DataFrame, components: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is that of their component: one document of each group, and all rows without an id.
 
-    Rows that repeat an id and a text stay once.
+    Of rows that share an id, that of the least text digest stays.
     """
     columns = docs.columns
-    kept = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
-    return with_id.unionByName(docs.where(F.col(id_col).isNull())).select(*columns)
+    kept = components.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    rows = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept"))
+    first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(text_col)))
+    again = rows.where("_rows > 1").withColumn("_nth", first).where("_nth = 1").select(*columns)
+    return rows.where("_rows = 1").select(*columns).unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
