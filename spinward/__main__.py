@@ -55,7 +55,7 @@ def modeling(args, spark) -> None:
     daily = spark.read.parquet(args.in_dir).drop("quarter")
     rows = modeling_table(daily, grid, drop_boundary_drives=args.drop_boundary_drives, strict=args.strict_buffer, strata=args.strata)
     write_splits(rows, args.out_dir)
-    split_summary(spark.read.parquet(args.out_dir)).show()
+    split_summary(spark.read.schema(rows.schema).parquet(args.out_dir)).show()
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -230,7 +230,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, *, pe
             for s in range(1, kk + 1):
                 wide[s:, s - 1] = v[s:] - v[:-s]
                 wide[:-s, kk + s - 1] = v[s:] - v[:-s]
-            radius = np.nextafter(np.sort(wide, 1)[:, kk - 1], 0)
+            radius = np.sort(wide, 1)[:, kk - 1] * (1 - 1e-10)  # just short of the k-th neighbour
             kept[at] = True
             own.append((at, np.full(n, n), np.full(n, kk), radius))
         if not own:
