@@ -77,7 +77,40 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_fingerprints, op4_license_scan, op5_decontaminate, op6_url_filter, op7_quality, op8_warc, op9_jaccard_join, op10_byte_bpe)}
 
+_TEMPLATES = ", ".join(f"({i}, '{lic}', '{text}')" for i, (lic, text) in enumerate(licenses.TEMPLATES))
+
 ORACLE: dict[str, str] = {
+    "op4_license_scan": f"""
+        WITH tpl(i, license, text) AS (VALUES {_TEMPLATES}),
+        tw AS (SELECT i, license, w, count(*) AS tf FROM (SELECT i, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM tpl) GROUP BY ALL),
+        total AS (SELECT count(*) AS n FROM documents),
+        df AS (SELECT w, count(*) AS k FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM documents) WHERE w IN (SELECT w FROM tw) GROUP BY w),
+        idf AS (SELECT w, ln((n + 1) / (coalesce(k, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w), total),
+        tn AS (SELECT i, sqrt(sum(pow(tf * idf, 2))) AS norm FROM tw JOIN idf USING (w) GROUP BY i),
+        tv AS (SELECT i, license, w, tf * idf / norm AS weight FROM tw JOIN idf USING (w) JOIN tn USING (i)),
+        units AS (SELECT doc_id, -1 AS unit, text AS u FROM documents UNION ALL SELECT doc_id, unnest(range(len(string_split(text, chr(10))))), unnest(string_split(text, chr(10))) FROM documents),
+        uw AS (SELECT doc_id, unit, w, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(u), '[a-z0-9]+')) AS w FROM units) GROUP BY ALL),
+        un AS (SELECT doc_id, unit, sqrt(sum(pow(tf * coalesce(idf, ln(n + 1.0) + 1), 2))) AS norm FROM uw LEFT JOIN idf USING (w), total GROUP BY doc_id, unit),
+        dots AS (SELECT doc_id, unit, i, license, sum(tf * idf * weight) AS dot FROM uw JOIN idf USING (w) JOIN tv USING (w) GROUP BY ALL),
+        sc AS (SELECT doc_id, unit, license, round(dot / norm, 9) AS score FROM dots JOIN un USING (doc_id, unit) WHERE round(dot / norm, 9) >= 0.6),
+        best AS (SELECT doc_id, unit, arg_min(license, (-score, license)) AS license, max(score) AS score FROM sc GROUP BY ALL),
+        h AS (SELECT doc_id, arg_min(license, (-score, license)) AS header, max(score) AS header_score FROM best WHERE unit >= 0 GROUP BY doc_id),
+        f AS (SELECT doc_id, license AS file, score AS file_score FROM best WHERE unit = -1),
+        r AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, header, header_score, file, file_score
+            FROM documents LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)),
+        of_dir AS (SELECT dir, arg_min(file, (-file_score, file, path)) AS inherited FROM r WHERE file IS NOT NULL GROUP BY dir)
+        SELECT doc_id, path, coalesce(header, file, inherited) AS license, coalesce(header_score, file_score) AS score,
+            CASE WHEN header IS NOT NULL THEN 'header' WHEN file IS NOT NULL THEN 'file' WHEN inherited IS NOT NULL THEN 'inherited' END AS how,
+            CASE WHEN coalesce(header, file) IS NULL AND inherited IS NOT NULL THEN dir END AS origin
+        FROM r LEFT JOIN of_dir USING (dir)""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+        reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT y, root FROM reach JOIN links ON x = doc_id)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
     "op8_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, octet_length(body) AS payload_bytes, body, max(page_id) OVER (PARTITION BY sha1(body)) AS last FROM p),
