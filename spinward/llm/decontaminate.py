@@ -6,8 +6,8 @@ of a window is looked up in a multi-index: 64 bits are cut into `RADIUS` + 1 blo
 agree in one of them at least. Candidates within the radius are verified by the exact similarity of the weighted
 shingles, sum of least over sum of greatest counts, 0.8 or more.
 
-A window can't be as similar as that with fewer than 8/9 of its shingles among the items' (for a whole shorter text, the
-bound of its own sizes), so windows below this are not fingerprinted at all. The radius is 20 of 64 bits: at similarity
+A window can't be as similar as that with fewer than 8/9 of its shingles among those of items of its length (for a whole
+shorter text, the bound of its own sizes), so windows below this are not fingerprinted at all. The radius is 20 of 64 bits: at similarity
 0.8 the expected distance is 10 with a deviation of 3, so one window in thousands of those just at the limit is lost.
 
 Items are read in blocks of at most `block_words` words; each block is one pass over the documents. Null and empty texts
@@ -88,8 +88,11 @@ class Items:
         self.gate[self.known >> np.uint64(42)] = True
         self.lengths = sorted(set(self.words))
         self.index = {w: HammingIndex([simhash(s) for s, n in zip(self.shingles, self.words, strict=True) if n == w]) for w in self.lengths}
+        self.lengths_of = defaultdict(set)
+        for s, n in zip(self.shingles, self.words, strict=True):
+            for x in s.tolist():
+                self.lengths_of[x].add(n)
         self.of_length = {w: [i for i, n in enumerate(self.words) if n == w] for w in self.lengths}
-        self.least = min(needed(len(s), 1) if self.size == SIZE else 1 for s in self.shingles)
         return self
 
     def find(self, words: np.ndarray) -> dict:
@@ -106,15 +109,19 @@ class Items:
         at = at[self.known[place] == shingles[at]]
         if len(at) == 0:
             return best
-        before = np.zeros(len(shingles) + 1, np.int64)
-        before[at + 1] = 1
-        before = np.cumsum(before)
+        hits_of = defaultdict(list)  # places of shingles that items of a length have
+        for k, x in zip(at.tolist(), shingles[at].tolist(), strict=True):
+            for w in self.lengths_of[x]:
+                hits_of[w].append(k)
         prints: dict[tuple[int, int], int] = {}
-        for w in self.lengths:
+        for w, places in hits_of.items():
             n = max(1, w - self.size + 1)
             own = min(n, len(shingles))
-            if len(at) < needed(n, own):
+            if len(places) < needed(n, own):
                 continue
+            before = np.zeros(len(shingles) + 1, np.int64)
+            before[np.array(places) + 1] = 1
+            before = np.cumsum(before)
             starts = np.flatnonzero(before[own:] - before[:-own] >= needed(n, own))
             for s in starts.tolist():
                 window = shingles[s : s + own]
