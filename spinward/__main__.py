@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spinward.functions.columns import ID_COLUMNS
 from spinward.operators import profile
-from spinward.operators.windows import Grid, modeling_table, split_summary, write_splits
+from spinward.operators.windows import Grid, model_names, modeling_table, split_summary, write_splits
 from spinward.session import session
 from spinward.sources import archives
 
@@ -53,7 +53,7 @@ def dataset(args, spark) -> None:
 def modeling(args, spark) -> None:
     grid = Grid(args.epoch, args.window_days, args.train_end, args.test_start, args.neg_ratio, args.min_days, args.seed)
     daily = spark.read.parquet(args.in_dir).drop("quarter")
-    rows = modeling_table(daily, grid, drop_boundary_drives=args.drop_boundary_drives, strict=args.strict_buffer, strata=args.strata)
+    rows = modeling_table(daily, grid, drop_boundary_drives=args.drop_boundary_drives, strict=args.strict_buffer, strata=args.strata, models=model_names(daily))
     write_splits(rows, args.out_dir)
     split_summary(spark.read.schema(rows.schema).parquet(args.out_dir)).show()
 

@@ -48,9 +48,24 @@ def with_window(daily: DataFrame, grid: Grid) -> DataFrame:
     return daily.withColumn("window", grid_index(F.col("date"), grid.epoch, grid.window_days))
 
 
-def aggregate_windows(daily: DataFrame, grid: Grid, *, co_partition: bool = True) -> DataFrame:
-    """A row for each device and window. Dealing rows out by device first serves all later steps with one exchange."""
+def model_names(daily: DataFrame, most: int = 10_000) -> list[str] | None:
+    """The models of a fleet, from a scan of one column; None if there are more than `most`."""
+    names = [r.model for r in daily.where("model IS NOT NULL").select("model").distinct().limit(most + 1).collect()]
+    return names if len(names) <= most else None
+
+
+def aggregate_windows(daily: DataFrame, grid: Grid, *, co_partition: bool = True, models: Sequence[str] | None = None) -> DataFrame:
+    """A row for each device and window. Dealing rows out by device first serves all later steps with one exchange.
+
+    With `models`, the names that occur, rows carry a number for the model and get its name back at the end: then all
+    buffers have a fixed size, and the aggregation is hashed and compiled instead of sorted.
+    """
     sensors = sensors_of(daily)
+    if models is not None:
+        code = F.xxhash64("model")
+        daily = daily.withColumn("model", F.when(F.col("model").isNotNull(), code))
+        conf = daily.sparkSession.conf
+        conf.set("spark.sql.codegen.maxFields", str(max(int(conf.get("spark.sql.codegen.maxFields")), 4 * len(sensors) + 100)))
     rows = daily.repartition("serial_number") if co_partition else daily
     ends = [f(s, "date").alias(f"{s}_{name}") for s in sensors for name, f in (("first", first_of), ("last", last_of))]
     out = with_window(rows, grid).groupBy("serial_number", "window").agg(
@@ -64,6 +79,10 @@ def aggregate_windows(daily: DataFrame, grid: Grid, *, co_partition: bool = True
     )
     span = F.datediff("window_last_date", "window_first_date").cast("short").alias("days_span")
     deltas = [(F.col(f"{s}_last") - F.col(f"{s}_first")).alias(f"{s}_delta") for s in sensors]
+    if models is not None:
+        names = daily.sparkSession.createDataFrame([(m,) for m in models], "name string").withColumn("code", F.xxhash64("name"))
+        columns = out.columns
+        out = out.join(F.broadcast(names), out["model"] == names["code"], "left").select(*[F.col("name").alias(c) if c == "model" else out[c] for c in columns])
     head = [c for c in out.columns if c != "failed_in_window"]
     return out.select(*head, span, *deltas, "failed_in_window")
 
@@ -139,9 +158,9 @@ def strict_grouping(rows: DataFrame) -> DataFrame:
     return rows.where("split = 'train'").unionByName(rows.where("split <> 'train'").join(in_train, "serial_number", "left_anti"))
 
 
-def modeling_table(daily: DataFrame, grid: Grid, *, drop_boundary_drives: bool = False, strict: bool = False, strata: int = 1, co_partition: bool = True) -> DataFrame:
+def modeling_table(daily: DataFrame, grid: Grid, *, drop_boundary_drives: bool = False, strict: bool = False, strata: int = 1, co_partition: bool = True, models: Sequence[str] | None = None) -> DataFrame:
     """All steps in one plan: aggregate, label, count exposure, drop short windows, split, sample."""
-    labelled = enough_days(label_windows(aggregate_windows(daily, grid, co_partition=co_partition)), grid)
+    labelled = enough_days(label_windows(aggregate_windows(daily, grid, co_partition=co_partition, models=models)), grid)
     # sampling looks at the rows several times; windows are far fewer than snapshots
     rows = split_windows(labelled, grid, strict=strict).persist(StorageLevel.MEMORY_AND_DISK)
     out = sample_negatives(rows, grid, strata=strata)

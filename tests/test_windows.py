@@ -119,8 +119,8 @@ def test_the_seed_matters(spark):
 def test_partitioning_changes_nothing(spark):
     rows = [r for s in "abcdef" for r in snapshots(s, range(ord(s) % 7, 200, 1 + ord(s) % 3), fail={190}, value=float(ord(s)))]
     want = None
-    for n, co in ((1, True), (7, False), (64, True)):
-        got = sorted(map(tuple, W.modeling_table(frame(spark, rows).repartition(n), GRID, co_partition=co).collect()))
+    for n, co, models in ((1, True, None), (7, False, None), (64, True, ["ST4000", "other"])):
+        got = sorted(map(tuple, W.modeling_table(frame(spark, rows).repartition(n), GRID, co_partition=co, models=models).collect()))
         want = want or got
         assert got == want and got
 
@@ -133,6 +133,19 @@ def test_labels_are_the_only_look_ahead(spark):
     assert {k for k in a[1] if a[1][k] != b[1][k]} == {"label"}
 
 
+def test_the_fleet_generator_and_model_numbers(spark):
+    from spinward.sources.generate import fleet
+
+    daily = fleet(spark, 40, 100, failing=0.3).cache()
+    assert daily.where("failure = 1").count() > 0 and len(W.sensors_of(daily)) == 28
+    names = W.model_names(daily)
+    assert len(names) == 5 and W.model_names(daily, 2) is None
+    by_name, by_number = (W.aggregate_windows(daily, GRID, models=m) for m in (None, names))
+    assert len(by_name.columns) == 3 * 28 + 9 and by_name.columns == by_number.columns
+    assert by_name.exceptAll(by_number).count() == 0 and by_name.count() == by_number.count()
+    assert "SortAggregate" not in by_number._jdf.queryExecution().executedPlan().toString()
+
+
 def test_strict_grouping(spark):
     rows = spark.createDataFrame([("a", 0, "train"), ("a", 23, "calib"), ("b", 23, "calib"), ("b", 30, "test")], "serial_number string, window int, split string")
     got = sorted(map(tuple, W.strict_grouping(rows).collect()))
