@@ -60,7 +60,7 @@ def labelled_samples(spark: SparkSession, n: int = 1500) -> DataFrame:
         F.explode(
             F.array(
                 F.concat_ws("_", a, b, c), F.concat_ws("-", b, c, a), F.concat_ws("/", a, b, c, number), F.concat(a, F.initcap(b), F.initcap(c)), F.concat(a, b, c, d), F.concat(F.initcap(a), F.initcap(b), number), F.upper(F.concat_ws("_", a, b)),
-                F.concat_ws("-", F.lit("20"), F.lpad(F.pmod(F.col("id"), F.lit(12)).cast("string"), 2, "0"), number), F.repeat(F.substring(F.lit("-=_+/"), (F.col("id") % 5 + 1).cast("int"), F.lit(1)), 30), F.concat(F.col("id").cast("string"), number, number, number, number),
+                F.concat_ws("-", F.lit("20"), F.lpad(F.pmod(F.col("id"), F.lit(12)).cast("string"), 2, "0"), number), F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), 30), F.concat(F.col("id").cast("string"), number, number, number, number),
             )
         ).alias("text")
     ).withColumn("label", F.lit(0))

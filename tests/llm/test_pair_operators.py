@@ -209,3 +209,14 @@ def test_pipeline_stages(spark, sf_dir):
         assert kept.columns == columns and kept.count() <= before.count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == {r.doc_id for r in kept.collect()}
     assert not any("token = " in (r.text or "") for r in kept.collect())
+
+
+def test_pipeline_stages_on_edge_cases(spark, sf_dir):
+    edge = edge_docs(spark).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "spans AS source", "CAST(length(text) AS BIGINT) AS n_chars", "n_tokens")
+    for docs in (edge, edge.limit(0)):
+        for _name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            assert out.count() <= docs.count()
+            assert out.columns == docs.columns or _name == "encode"
+    masked = corpus_pipeline.mask_secrets(spark, edge, sf_dir).collect()
+    assert sum("[SECRET]" in (r.text or "") for r in masked) == 2 and all(r.n_chars == (len(r.text) if r.text is not None else None) for r in masked)

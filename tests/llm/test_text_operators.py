@@ -71,7 +71,7 @@ def test_base_spans_equal_brute_force(spark, sf_dir, markov):
 
 
 def test_markov_models_part_random_strings_from_identifiers(spark, markov):
-    rows = spark.createDataFrame([(1, "kQ7xP2vN9rT4wY8zB3mL6cJ1"), (1, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (0, "thisIsAnOrdinaryIdentifierName"), (0, "max_connection_pool_size_limit"), (0, "--------------------------------"), (0, "src/main/resources/templates"), (0, "20240131-20240229-20240331")], "label int, text string")
+    rows = spark.createDataFrame([(1, "kQ7xP2vN9rT4wY8zB3mL6cJ1"), (1, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (0, "thisIsAnOrdinaryIdentifierName"), (0, "max_connection_pool_size_limit"), (0, "--------------------------------"), (0, "x" * 50), (0, "src/main/resources/templates"), (0, "20240131-20240229-20240331")], "label int, text string")
     for r in rows.withColumn("llr", markov.ratio(rows.text)).collect():
         assert (r.llr >= 10) == bool(r.label), r
 
