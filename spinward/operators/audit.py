@@ -23,6 +23,7 @@ def audit(rows: DataFrame, windows: DataFrame, *, neg_ratio: float, ranges: dict
         return df.select(F.lit(name).alias("check"), F.when(F.coalesce(good, F.lit(False)), "PASS").otherwise("REVIEW").alias("result"), F.round(evidence.cast("double"), 6).alias("evidence"))
 
     splits = ("train", "calib", "test")
+    rows, windows = rows.persist(), windows.select("serial_number", "window", "failed_in_window").persist()  # read for every check
     out = []
     for s in splits:
         d = duplicates(rows.where(F.col("split") == s), ["serial_number", "window"])

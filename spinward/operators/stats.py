@@ -68,6 +68,7 @@ def oriented(auc: Column) -> Column:
 
 
 def oriented_aucs(df: DataFrame, features: Sequence[str], label: Column) -> DataFrame:
+    df, label = df.select(*dict.fromkeys(features), label.alias("_y")).persist(), F.col("_y")  # read for every feature
     out = None
     for c in features:
         one = auc_of(df, c, label).select(F.lit(c).alias("feature"), oriented(F.col("auc")).alias("auc"))
@@ -84,6 +85,7 @@ def within_group_auc(df: DataFrame, score: str, label: Column, group: str, *, le
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, rho, n) of each pair of columns, over the rows where both are known."""
+    df = df.select(*columns).persist()  # read for every pair
     out = None
     for a, b in combinations(columns, 2):
         both = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("n"))
