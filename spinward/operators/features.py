@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinward.functions.columns import VENDORS, capacity_tb, known_capacity, order_digest, signed_log, vendor
@@ -58,6 +59,14 @@ class Preparation:
         out |= {f"{c}_missing": F.col(c).isNull().cast("double") for c in self.with_nulls}
         return {n: signed_log(x) for n, x in out.items()} if self.log else out
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As one line of JSON, on any path that Spark can write."""
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Preparation:
+        return cls(**json.loads(spark.read.text(path).first().value))
+
     def outputs(self) -> list[str]:
         return [*self.columns, *[f"{c}_missing" for c in self.with_nulls]]
 

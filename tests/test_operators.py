@@ -138,10 +138,12 @@ def test_time_folds():
     assert [(max(t), v[0], v[-1]) for t, v in folds] == [(3, 5, 9), (8, 10, 13), (12, 14, 17), (16, 18, 21)]
 
 
-def test_preparation_is_fitted_on_training_rows_only(spark):
+def test_preparation_is_fitted_on_training_rows_only(spark, tmp_path):
     train = spark.createDataFrame([(1.0, 5.0), (3.0, None), (None, 5.0)], "a double, b double")
     prep = X.Preparation(["a", "b"], log=False).fit(train)
     assert prep.medians == {"a": 2.0, "b": 5.0} and prep.with_nulls == ["a", "b"] and prep.deviation["b"] == 1.0
+    prep.save(spark, str(tmp_path / "prep"))
+    prep = X.Preparation.load(spark, str(tmp_path / "prep"))
     other = prep.apply(spark.createDataFrame([(None, 6.0)], "a double, b double")).first()
     assert other.a == pytest.approx(0.0) and other.b == pytest.approx(1.0) and other.a_missing > 0
 
@@ -243,3 +245,23 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
     got = {(r.serial_number, r.window): (r.s_first, r.s_last, r.failed_in_window) for r in spark.table("spans").collect()}
     batch = {(r.serial_number, r.window): (r.a, r.b, r.f) for r in W.with_window(rows.withColumn("date", F.to_date("ts")), grid).groupBy("serial_number", "window").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.max("failure").alias("f")).collect()}
     assert got == batch and len(got) == 25
+
+
+def test_models_save_load_and_rank(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from spinward.operators import models as L
+
+    rng = np.random.default_rng(2)
+    rows = [(f"d{i}", int(i % 12), int(i % 4 == 0), float(i % 4 == 0) * 2 + rng.normal(), None if i % 9 == 0 else rng.normal(), "ST4000" if i % 2 else "WDC") for i in range(480)]
+    data = spark.createDataFrame(rows, "serial_number string, window int, label int, a double, b double, model string").withColumn("vendor", C.vendor(F.col("model"))).cache()
+    train, valid = L.prepared(data.where("window < 8"), [data.where("window >= 8")], ["a", "b"])
+    model = L.logistic()(train)
+    assert L.evaluate(L.predict(model, valid))["pr_auc"] > 0.6
+    model.write().overwrite().save(str(tmp_path / "lr"))
+    again = LogisticRegressionModel.load(str(tmp_path / "lr"))
+    assert L.predict(again, valid).exceptAll(L.predict(model, valid)).count() == 0
+    kernel = L.KernelMap(0.2, 30).fit(train, ["serial_number", "window"])
+    assert L.evaluate(L.predict(L.svm()(kernel.apply(train)), kernel.apply(valid)), 0.0)["pr_auc"] > 0.5
+    ranked = L.search(data, L.tree, {"max_depth": [1, 3], "min_leaf": [5]}, ["a", "b"], n_folds=2, log=False, scale=False).collect()
+    assert [r.pr_auc_rank for r in ranked] == [1, 2] or ranked[0].pr_auc == ranked[1].pr_auc
