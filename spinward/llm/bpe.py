@@ -22,21 +22,22 @@ from pyspark.sql import DataFrame
 
 from spinward.llm.common import bounded_batches, keep, pieces
 
-#: One step takes the pair of least rank of each word, the leftmost of several. Finished words drop out.
+#: A word is a list of tokens; each step lays it out as token-position rows, which join the merge table, and contracts the
+#: pair of least rank, the leftmost of several. Finished words drop out. Words have 64 bytes at most, so a key of rank and
+#: position orders pairs.
 ENCODE = """
 WITH RECURSIVE bpe AS (
-    SELECT w, p, t, 0 AS step FROM seed
+    SELECT w, ts, 0 AS step FROM seed
     UNION ALL
     (WITH pair AS (
-        SELECT a.w, a.p, m.n
-        FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS r FROM bpe) a
-        JOIN merges m ON a.t = m.l AND a.r = m.r),
-    best AS (SELECT w, min(n) AS n, arg_min(p, (n, p)) AS p FROM pair GROUP BY w)
-    SELECT x.w, x.p - (x.p > b.p)::INT, CASE WHEN x.p = b.p THEN b.n ELSE x.t END, x.step + 1
-    FROM bpe x JOIN best b ON x.w = b.w
-    WHERE x.p <> b.p + 1)
-), last AS (SELECT w, max(step) AS step FROM bpe GROUP BY w)
-SELECT w, p, t FROM bpe JOIN last USING (w, step)
+        SELECT a.w, min(m.n * 1024 + a.p) AS k
+        FROM (SELECT w, p, ts[p] AS t, ts[p + 1] AS r FROM (SELECT w, ts, unnest(range(1, len(ts))) AS p FROM bpe)) a
+        JOIN merges m ON a.t = m.l AND a.r = m.r
+        GROUP BY a.w)
+    SELECT x.w, x.ts[:k % 1024 - 1] || [(k // 1024)::INT] || x.ts[k % 1024 + 2:], x.step + 1
+    FROM bpe x JOIN pair ON x.w = pair.w)
+)
+SELECT w, arg_max(ts, step) AS ts FROM bpe GROUP BY w
 """
 
 #: The same for long words: all occurrences of the pair of least rank, from the left, none over another. A pair that holds
@@ -61,8 +62,12 @@ SELECT w, p, t, step FROM bpe JOIN last USING (w, step)
 LONG = 64  # bytes
 
 DECODE = """
-SELECT w, list(t ORDER BY p) AS ids, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
-FROM fixpoint JOIN vocabulary v ON v.id = t GROUP BY w ORDER BY w
+SELECT f.w, f.ts AS ids, d.bytes
+FROM fixpoint f JOIN (
+    SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
+    FROM (SELECT w, unnest(range(len(ts))) AS p, unnest(ts) AS t FROM fixpoint) JOIN vocabulary v ON v.id = t
+    GROUP BY w) d USING (w)
+ORDER BY f.w
 """
 
 
@@ -94,37 +99,33 @@ class WordCodec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_")
 
     def seed(self, words: list[bytes]) -> pa.Table:
-        """Token-position rows; a word that is a token itself is one row, as the library looks it up first."""
+        """(w, ts): the words' bytes as tokens; a word that is a token itself is that one, as the library looks it up first."""
         whole = [self.ranks.get(w) for w in words]
-        split = [i for i, t in enumerate(whole) if t is None]
-        sizes = np.array([len(words[i]) for i in split], np.int64)
-        tokens = self.of_byte[np.frombuffer(b"".join(words[i] for i in split), np.uint8)]
-        at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        single = [i for i, t in enumerate(whole) if t is not None]
-        return pa.table(
-            {
-                "w": np.concatenate([np.repeat(np.array(split, np.int32), sizes), np.array(single, np.int32)]),
-                "p": np.concatenate([at.astype(np.int32), np.zeros(len(single), np.int32)]),
-                "t": np.concatenate([tokens, np.array([whole[i] for i in single], np.int32)]),
-            }
-        )
+        sizes = np.array([len(w) if t is None else 1 for w, t in zip(words, whole, strict=True)], np.int32)
+        tokens = np.empty(int(sizes.sum()), np.int32)
+        is_byte = np.repeat(np.array([t is None for t in whole], bool), sizes)
+        tokens[is_byte] = self.of_byte[np.frombuffer(b"".join(w for w, t in zip(words, whole, strict=True) if t is None), np.uint8)]
+        tokens[~is_byte] = [t for t in whole if t is not None]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)
+        return pa.table({"w": pa.array(np.arange(len(words), dtype=np.int32)), "ts": pa.ListArray.from_arrays(ends, tokens)})
 
     def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each word its ids, as little-endian 32-bit integers, and what these ids decode to. Words are short or all long."""
         if not words:
             return []
-        rows = self.seed(words)
-        self.db.register("seed_", rows)
+        self.db.register("seed_", self.seed(words))
         self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT * FROM seed_")
         if max(map(len, words)) <= LONG:
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE fixpoint AS {ENCODE}")
         else:  # some steps at a time, so that a query holds a few states of the words, not all
-            steps = max(1, 2_000_000 // rows.num_rows)
+            self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT w, unnest(range(len(ts)))::INT AS p, unnest(ts) AS t FROM seed_")
+            steps = max(1, 2_000_000 // sum(map(len, words)))
             while True:
-                self.db.execute(f"CREATE OR REPLACE TEMP TABLE fixpoint AS {ENCODE_LONG.format(steps=steps)}")
-                if self.db.execute("SELECT coalesce(max(step), 0) FROM fixpoint").fetchall()[0][0] < steps:
+                self.db.execute(f"CREATE OR REPLACE TEMP TABLE reached AS {ENCODE_LONG.format(steps=steps)}")
+                if self.db.execute("SELECT coalesce(max(step), 0) FROM reached").fetchall()[0][0] < steps:
                     break
-                self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT w, p, t FROM fixpoint")
+                self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT w, p, t FROM reached")
+            self.db.execute("CREATE OR REPLACE TEMP TABLE fixpoint AS SELECT w, list(t ORDER BY p) AS ts FROM reached GROUP BY w")
         out = self.db.sql(DECODE).to_arrow_table().combine_chunks()
         self.db.unregister("seed_")
         ids = out.column("ids").combine_chunks()
@@ -179,16 +180,16 @@ def _splitter(pattern: str):
     return regex.compile(pattern)
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", words_per_query: int = 48_000, cache_size: int = 300_000) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", words_per_query: int = 120_000, cache_size: int = 300_000) -> DataFrame:
     """(id, ids binary: little-endian unsigned 32-bit, decoded binary: the bytes of these ids) for each row of docs."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4096)  # each query of a batch has its fixed costs
     docs = keep(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = _table(ranks_path), _splitter(pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in pieces(texts, [len(t) for t in texts], 2 << 20):
+            for part in pieces(texts, [len(t) for t in texts], 6 << 20):
                 words = [split.findall(t) for t in texts[part]]
                 known.meet(set().union(*words), words_per_query, cache_size)
                 yield pa.RecordBatch.from_arrays(
