@@ -36,6 +36,7 @@ from spinward.llm.common import bounded_batches, cut, keep, raw
 from spinward.llm.shingles import Words, set_digest, shingle_set
 
 SIZE = 5
+MEMBERS_HELD = 3_000_000
 #: Similarity of 80 in 100.
 OF, LEAST = 100, 80
 
@@ -63,10 +64,11 @@ def node_of(digest: bytes) -> int:
 
 
 def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, node, member, n): a row per document, and rows of members that a partition holds twice or more.
+    """(doc_id, n_shingles, digest, node, member, n): a row per document, and rows of members that a batch holds twice or more.
 
-    Rows of documents have a null member; rows of members have a null digest. A member in more documents than there are
-    partitions is held twice by one of them at least, so no frequent one is missed; its count may be too low.
+    Batches are parts of partitions, of about `MEMBERS_HELD` members. Rows of documents have a null member; rows of members
+    have a null digest. A member in more documents than there are batches is held twice by one of them at least, so no
+    frequent one is missed; its count may be too low.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -98,7 +100,7 @@ def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     held.append(members)
                     total += len(members)
             yield of_documents(batch.column(0), sizes, digests)
-            if total > 6_000_000:
+            if total > MEMBERS_HELD:
                 yield from of_members(held)
                 held, total = [], 0
                 seen.clear()

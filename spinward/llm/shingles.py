@@ -16,7 +16,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 class Words:
     """64-bit hashes of words, each computed once; forgets them beyond `limit`."""
 
-    def __init__(self, limit: int = 600_000) -> None:
+    def __init__(self, limit: int = 400_000) -> None:
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
