@@ -3,8 +3,8 @@
 A word is a match of the split pattern. Token-position rows of all words join the merge table; each step contracts the
 leftmost pair of least rank of every word, until no pair of a word can merge. The bytes of a word come back from its ids
 by an ordered aggregation. Ids and bytes of a document are those of its words in turn, so a word is encoded once,
-however often it occurs. A worker keeps the words of one partition for its next ones, in two generations of `cache_size`
-words; words that one generation has not met are forgotten and encoded anew when they come again.
+however often it occurs. A task keeps the words of its partition in two generations of `cache_size` words; words that one
+generation has not met are forgotten and encoded anew when they come again.
 
 Null and empty texts have no ids. Repeated rows give repeated results, an empty table gives none, null ids stay null.
 Other columns of the input are not read.
@@ -168,11 +168,6 @@ class WordTable:
                     self.ids[w], self.bytes[w] = a, b
 
 
-@functools.lru_cache(1)
-def _table(path: str) -> WordTable:
-    return WordTable(_codec(path))
-
-
 @functools.lru_cache(4)
 def _splitter(pattern: str):
     import regex
@@ -180,16 +175,16 @@ def _splitter(pattern: str):
     return regex.compile(pattern)
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", words_per_query: int = 120_000, cache_size: int = 300_000) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", words_per_query: int = 120_000, cache_size: int = 200_000) -> DataFrame:
     """(id, ids binary: little-endian unsigned 32-bit, decoded binary: the bytes of these ids) for each row of docs."""
-    bounded_batches(docs.sparkSession, 4096)  # each query of a batch has its fixed costs
+    bounded_batches(docs.sparkSession, 2048)  # each query of a batch has its fixed costs
     docs = keep(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = _table(ranks_path), _splitter(pattern)
+        known, split = WordTable(_codec(ranks_path)), _splitter(pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in pieces(texts, [len(t) for t in texts], 6 << 20):
+            for part in pieces(texts, [len(t) for t in texts], 4 << 20):
                 words = [split.findall(t) for t in texts[part]]
                 known.meet(set().union(*words), words_per_query, cache_size)
                 yield pa.RecordBatch.from_arrays(
