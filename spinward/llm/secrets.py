@@ -1,8 +1,11 @@
 """Operator 2, secret scans, by DataFrame functions alone.
 
 Base spans come from three patterns (assignments, access keys, hexadecimal runs). The method adds others: runs of
-key-like characters are scored by two character Markov models, of random strings and of ordinary identifiers, and a run
-whose log-likelihood ratio reaches `threshold` nats becomes a span of kind `random`, unless it overlaps a base span.
+key-like characters are scored by two character Markov models, of random strings and of ordinary identifiers. A run whose
+log-likelihood ratio reaches `threshold` nats becomes a span of kind `random`, unless it overlaps a base span. In other
+runs every stretch of `min_run` characters or more is scored, so that a name or path before or after a key cannot cancel
+it: the best stretches that reach the threshold, widened to whole letter and digit groups, are spans unless they overlap
+a base span. Stretches with less than `threshold` nats of ordinary characters between them are one.
 Positions are code points, ends exclusive.
 
 Null texts count as empty and have no spans. Repeated rows give repeated results, an empty table gives none, null ids
@@ -12,6 +15,7 @@ stay null. Other columns of the input are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,16 +77,62 @@ class MarkovPair:
 
     ratios: tuple[int, ...]
 
-    def ratio(self, text: Column) -> Column:
-        """Nats by which `text`, of characters of ALPHABET, is likelier as a random string."""
+    def steps(self, text: Column) -> Column:
+        """The ratio of each transition, in thousandths of a nat."""
         k = len(ALPHABET)
         table = F.split(F.lit(",".join(map(str, self.ratios))), ",").cast("array<int>")
+        codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        n = F.greatest(F.length(text) - 1, F.lit(0))
+        return _let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.element_at(table, (a - 1) * k + b)))
+
+    def ratio(self, text: Column) -> Column:
+        """Nats by which `text`, of characters of ALPHABET, is likelier as a random string."""
+        return F.aggregate(self.steps(text), F.lit(0), lambda acc, x: acc + x) / 1000.0
+
+    def stretches(self, text: Column, least: int, threshold: float) -> Column:
+        """(start, end) of the stretches of `least` characters or more of `text` whose ratio reaches `threshold`.
+
+        One pass over sums of ratios: a stretch runs from the least sum that is `least` characters or more behind to the
+        greatest since, and is closed once the sum has fallen by `threshold`, from where the next one may start.
+        """
+        limit = round(1000 * threshold)
+        pair = "array<struct<start:int,end:int>>"
+        none = F.lit(None).cast("int")
+        zero = F.struct(
+            F.lit(0).alias("at"), F.lit(0).alias("sum"), F.array(F.lit(0)).alias("late"), F.lit(0).alias("floor"), none.alias("low"), none.alias("low_at"),
+            F.lit(0).alias("best"), none.alias("start"), none.alias("end"), F.lit(0).alias("top"), F.array().cast(pair).alias("out"),
+        )
+
+        def moved(acc: Column, ratio: Column) -> Column:
+            """One character on: the sum up to it, and the sums of the last `least` characters, the first of them in front."""
+            late = F.concat(acc["late"], F.array(acc["sum"] + ratio))
+            return acc.withField("at", acc["at"] + 1).withField("sum", acc["sum"] + ratio).withField("late", F.when(F.size(late) > least, F.slice(late, 2, least)).otherwise(late))
+
+        def lowered(acc: Column) -> Column:
+            start, first = acc["at"] - (least - 1), F.element_at(acc["late"], 1)
+            lower = (start >= acc["floor"]) & (acc["low"].isNull() | (first < acc["low"]))
+            return F.when(lower, acc.withField("low", first).withField("low_at", start)).otherwise(acc)
+
+        def raised(acc: Column) -> Column:
+            gain = acc["sum"] - acc["low"]
+            return F.when(gain > acc["best"], acc.withField("best", gain).withField("start", acc["low_at"]).withField("end", acc["at"] + 1).withField("top", acc["sum"])).otherwise(acc)
+
+        def out(acc: Column) -> Column:
+            return F.when(acc["best"] >= limit, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
 
-        def at(i: Column) -> Column:
-            return F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
+        def closed(acc: Column) -> Column:
+            fallen = (acc["best"] >= limit) & (acc["top"] - acc["sum"] >= limit)
+            return F.when(fallen, acc.withField("out", out(acc)).withField("floor", acc["at"]).withField("low", none).withField("best", F.lit(0))).otherwise(acc)
 
-        steps = F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, F.lit(0), lambda acc, i: acc + F.element_at(table, (at(i) - 1) * k + at(i + 1))) / 1000.0
+        def step(acc: Column, ratio: Column) -> Column:
+            return _let(_let(_let(moved(acc, ratio), lowered), raised), closed)
+
+        return F.aggregate(self.steps(text), zero, step, out)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def train_markov(samples: DataFrame, smooth: float = 0.5) -> MarkovPair:
@@ -122,6 +172,22 @@ def _plain(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
+def _overlaps(s: Column, spans: str) -> Column:
+    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+
+def _within(model: MarkovPair, run: Column, least: int, threshold: float) -> Column:
+    """Spans of the stretches of a run that reach the threshold, each widened to whole groups of letters, digits and plus signs."""
+    group = "^[A-Za-z0-9+]*"
+
+    def span(s: Column) -> Column:
+        before, after = F.reverse(F.substring(run["inner"], F.lit(1), s["start"])), F.substring(run["inner"], s["end"] + 1, F.length(run["inner"]))
+        start, end = s["start"] - F.length(F.regexp_extract(before, group, 0)), s["end"] + F.length(F.regexp_extract(after, group, 0))
+        return F.struct((run["start"] + start).alias("start"), run["rank"].alias("rank"), (run["start"] + end).alias("end"), run["kind"].alias("kind"))
+
+    return F.array_distinct(F.transform(model.stretches(run["inner"], least, threshold), span))
+
+
 def secret_spans(docs: DataFrame, model: MarkovPair, *, id_col: str = "doc_id", text_col: str = "text", min_value: int = 8, min_run: int = 20, threshold: float = 10.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, base, spans): arrays of (start, rank, end, kind) by start, then by kind as in KINDS; `carry` names columns to keep."""
     docs = keep(docs, id_col, text_col, *carry)
@@ -134,10 +200,14 @@ def secret_spans(docs: DataFrame, model: MarkovPair, *, id_col: str = "doc_id",
 
     assign = where(ASSIGN, _plain(F.filter(_spans(text, ASSIGN, "assign", 1), lambda s: F.length(s["inner"]) >= min_value)))
     base = F.array_sort(F.concat(assign, where(ACCESS, _plain(_spans(text, ACCESS, "access"))), where(HEX, _plain(_spans(text, HEX, "hex")))))
-    random = where(run, _plain(F.filter(_spans(text, run, "random"), lambda s: model.ratio(s["inner"]) >= threshold)))
-    with_base = docs.withColumn("base", base).withColumn("_random", random)
-    added = F.filter("_random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return with_base.withColumn("spans", F.when(F.size("_random") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", added)))).select(id_col, *[c for c in carry if c != id_col], "base", "spans")
+    with_base = docs.withColumn("base", base).withColumn("_runs", F.when(text.rlike(run), _spans(text, run, "random")))
+
+    def of_run(r: Column) -> Column:
+        whole = (model.ratio(r["inner"]) >= threshold) & ~_overlaps(r, "base")
+        return F.when(whole, _plain(F.array(r))).otherwise(F.filter(_within(model, r, min_run, threshold), lambda s: ~_overlaps(s, "base")))
+
+    with_base = with_base.withColumn("_random", F.coalesce(F.flatten(F.transform("_runs", of_run)), none))
+    return with_base.withColumn("spans", F.when(F.size("_random") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "_random")))).select(id_col, *[c for c in carry if c != id_col], "base", "spans")
 
 
 def joined(spans: Column) -> Column:

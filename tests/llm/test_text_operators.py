@@ -76,6 +76,21 @@ def test_markov_models_part_random_strings_from_identifiers(spark, markov):
         assert (r.llr >= 10) == bool(r.label), r
 
 
+def test_a_name_or_path_cannot_cancel_a_key(spark, markov):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    names = ["customer_service_account_credential_value=", "/application/account/settings/credentials/", ""]
+    keys = ["".join(rng.choice(letters, 24)) for _ in range(60)]
+    rows = [(n, k, f"set {n}{k}{end} here") for n in names for k in keys for end in ("", "/application/account/settings")]
+    long = "/application/account/settings/credentials/directory/"
+    rows += [(long, "|".join(keys[:2]), f"{long}{keys[0]}{long}{keys[1]}{long}")]
+    got = secrets.secret_spans(spark.createDataFrame(rows, "name string, keys string, text string"), markov, id_col="text", carry=("keys",)).collect()
+    hidden = [all(any(s.start <= r.text.index(k) and r.text.index(k) + len(k) <= s.end for s in r.spans) for k in r["keys"].split("|")) for r in got]
+    assert np.mean(hidden) > 0.99
+    ordinary = spark.createDataFrame([(n * 3 + "value_of_the_" * 4,) for n in names] + [("src/main/resources/templates/" * 9,), ("x" * 5000,)], "text string")
+    assert not any(r.spans for r in secrets.secret_spans(ordinary, markov, id_col="text").collect())
+
+
 def test_redaction_covers_all_spans(spark, markov):
     docs = spark.createDataFrame([(1, "é token = abcdefgh1234 end", 26), (2, None, None), (3, "clean text", 10)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in secrets.redact_secrets(docs, markov).collect()}
