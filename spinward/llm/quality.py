@@ -4,7 +4,8 @@ Each class has a mean and a covariance shrunk towards its diagonal and a multipl
 the logistic function of the difference of the two log densities (half Mahalanobis distances and log determinants, from
 Cholesky factors computed once) plus the log prior odds.
 
-It is fitted on a bounded sample of labelled rows: at most `sample` rows of each class, those of least hash of the id.
+Means and covariances are fitted on a bounded sample of labelled rows: at most `sample` rows of each class, those of least
+hash of the id. The prior odds are those of all labelled ids that are not held out, however many there are.
 Null and empty texts count as texts without a character; they get the score of those statistics. Repeated rows are scored
 alike. With a class unseen, every score is the share of label 1 (0.5 without any labels). Null ids are scored but never
 sampled. Other columns of the input are kept where a filter is asked for, and are never inputs.
@@ -85,9 +86,10 @@ class Discriminant:
     log_odds: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, shrink: float = 0.1, ridge: float = 1e-3) -> Discriminant:
+    def fit(cls, x: np.ndarray, y: np.ndarray, labelled: tuple[int, int], shrink: float = 0.1, ridge: float = 1e-3) -> Discriminant:
+        """From a sample of each class; `labelled` has the numbers of all labels 0 and 1, which give the prior odds."""
         ones = int((y == 1).sum())
-        odds = float(np.log((ones + 1) / (len(y) - ones + 1)))
+        odds = float(np.log((labelled[1] + 1) / (labelled[0] + 1)))
         if ones == 0 or ones == len(y):
             return cls(None, None, None, odds)
         scale = x.std(0) + 1e-6
@@ -117,9 +119,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000) -> Discriminant:
-    """Fits on at most `sample` labelled rows of each class that are not held out."""
+    """Fits on at most `sample` labelled rows of each class that are not held out, with the prior odds of all of them."""
     bounded_batches(docs.sparkSession)
     known = keep(labels, id_col, label_col).where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    labelled = {r["_label"]: r["n"] for r in known.where("_label IN (0, 1)").groupBy("_label").agg(F.countDistinct("_id").alias("n")).collect()}
     chosen = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).dropDuplicates(["_id"])
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(ids), "_id").select("_label", "_text")
@@ -133,7 +136,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(got.column("y").to_pylist(), int)
     order = np.lexsort((*x.T, y))
-    return Discriminant.fit(x[order], y[order])
+    return Discriminant.fit(x[order], y[order], (labelled.get(0, 0), labelled.get(1, 0)))
 
 
 def score_quality(docs: DataFrame, model: Discriminant, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -188,6 +188,16 @@ def test_quality_on_rows_held_out(spark):
     assert np.mean([got[r.doc_id].predicted for r in held if r.quality == 1]) > 0.97
 
 
+def test_quality_prior_does_not_depend_on_the_sample(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    known = [r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    ones = known.count(1)
+    assert ones != known.count(0) and min(ones, known.count(0)) > 2
+    for sample in (2, 4000):
+        assert quality.fit_quality(docs, labels, sample=sample).log_odds == pytest.approx(np.log((ones + 1) / (known.count(0) + 1)))
+
+
 def test_quality_edge_cases(spark):
     docs, labels = edge_docs(spark), spark.createDataFrame([(0, 1), (3, 1), (9, 0)], "doc_id long, quality int")
     for known in (labels, labels.where("quality = 1"), labels.limit(0)):
