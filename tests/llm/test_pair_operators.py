@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import io
+import math
 import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -159,6 +161,28 @@ def test_url_rules_equal_brute_force(spark, sf_dir):
     assert urls.judge_urls(extra, RULES, urls.fit_urls(extra, RULES)).count() == len(odd) + 1
 
 
+def test_block_odds_equal_exact_naive_bayes(spark):
+    def name(i):
+        return "".join("abcdefghijklmnopqrstuvwxyz"[i // 26**k % 26] for k in range(4))
+
+    hosts = ("a.com", "b.org", "c.net")
+    rows = [(i, f"http://{hosts[i % 3]}/" + "/".join(name(j * 7 % 90_000) for j in (*range(i * 150, i * 150 + 200), i % 11)), None) for i in range(300)]
+    rows += [rows[2], rows[2], (None, rows[5][1], None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [urls.Rule("block", "com/"), urls.Rule("allow", "org/")]
+    model = urls.fit_urls(pages, rules)
+    words = {i: model.tokens(*u.removeprefix("http://").split("/", 1)) for i, u, _ in rows}
+    count = {v: Counter(t for i, u, _ in rows if hosts[k] in u for t in words[i]) for k, v in enumerate(("block", "allow"))}
+    seen = len(count["block"] | count["allow"])
+    weight = lambda v, t: math.log((count[v][t] + 0.5) / (count[v].total() + 0.5 * (seen + 1)))
+    got = urls.judge_urls(pages, rules, model).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(i) for i, _, _ in rows) and seen > 1 << 15
+    for r in got:
+        odds = sum(weight("block", t) - weight("allow", t) for t in words[r.page_id])
+        assert r.block_odds == pytest.approx(odds, abs=1e-6)
+        assert r.verdict == ({"a.com": "block", "b.org": "allow"}.get(r.host) or ("block" if r.block_odds > 0 else "allow"))
+
+
 def test_viterbi_segments_concatenated_words():
     model = {w: np.log(p) for w, p in {"free": 0.1, "online": 0.1, "games": 0.1, "on": 0.05, "line": 0.05, "a": 0.1}.items()}
     assert urls.segment("freeonlinegames", model) == ["free", "online", "games"]
