@@ -46,6 +46,12 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved"),
 )
 
+#: (license, text) of whole license files, for whole texts only; their terms' weights are apart from those above.
+FILE_TEMPLATES = (
+    ("MIT", """MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """BSD 3-Clause License Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+)
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -61,6 +67,7 @@ class LicenseModel:
     unseen: float
     templates: tuple[tuple[str, str], ...]
     threshold: float
+    files: LicenseModel | None = None  # for whole texts only
 
     def vector(self, text: str) -> dict[str, float]:
         words = _words(text)
@@ -82,27 +89,30 @@ class LicenseModel:
         return out
 
 
-def fit_licenses(docs: DataFrame, *, text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.6) -> LicenseModel:
+def fit_licenses(docs: DataFrame, *, text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, file_templates: tuple[tuple[str, str], ...] = FILE_TEMPLATES, threshold: float = 0.6) -> LicenseModel:
     """Document frequencies of the templates' terms, over all of docs; a row for each term comes to the driver."""
-    vocabulary = sorted({w for _, t in templates for w in _words(t)})
+    own, of_files = ({w for _, t in ts for w in _words(t)} for ts in (templates, file_templates))
+    vocabulary = sorted(own | of_files)
     terms = F.array_intersect(F.split(F.lower(F.col(f"`{text_col}`")), "[^a-z0-9]+"), F.split(F.lit(" ".join(vocabulary)), " "))
     found = docs.select(F.explode(terms).alias("term")).groupBy("term").count().collect()
     n, df = docs.count(), {r.term: r["count"] for r in found}
     weight = lambda k: math.log((n + 1) / (k + 1)) + 1
-    return LicenseModel({w: weight(df.get(w, 0)) for w in vocabulary}, weight(0), templates, threshold)
+    files = LicenseModel({w: weight(df.get(w, 0)) for w in sorted(of_files)}, weight(0), file_templates, threshold) if file_templates else None
+    return LicenseModel({w: weight(df.get(w, 0)) for w in sorted(own)}, weight(0), templates, threshold, files)
 
 
-def license_matches(docs: DataFrame, model: LicenseModel, *, text_col: str = "text") -> DataFrame:
+def license_matches(docs: DataFrame, model: LicenseModel, *, text_col: str = "text", by_line: bool = True) -> DataFrame:
     """(key, unit, license, score): the best template of each line (unit from 0) and whole text (unit -1) that reach the threshold.
 
-    key is a hash of the text: rows of equal text are looked at once.
+    Without `by_line`, whole texts only. key is a hash of the text: rows of equal text are looked at once.
     """
     spark = docs.sparkSession
     anchor = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, model.anchors()))})(?![a-z0-9])"
     text = F.col(f"`{text_col}`")
     some = docs.where(F.lower(text).rlike(anchor)).select(F.xxhash64(text).alias("key"), text.alias("text")).dropDuplicates(["key"])
     lines = some.select("key", F.posexplode(F.split("text", "\n")).alias("unit", "unit_text")).where(F.lower("unit_text").rlike(anchor))
-    units = lines.unionByName(some.select("key", F.lit(-1).alias("unit"), F.col("text").alias("unit_text")))
+    whole = some.select("key", F.lit(-1).alias("unit"), F.col("text").alias("unit_text"))
+    units = lines.unionByName(whole) if by_line else whole
     counts = units.select("key", "unit", F.explode(words_of(F.col("unit_text"))).alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("tf"))
     idf = spark.createDataFrame(list(model.idf.items()), "term string, idf double")  # as many rows as the templates have terms
     weights = spark.createDataFrame([(i, lic, w, x) for i, (lic, t) in enumerate(model.templates) for w, x in model.vector(t).items()], "template int, license string, term string, weight double")
@@ -121,10 +131,13 @@ def parent(path: Column) -> Column:
 
 def license_scan(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", salts: int = 16) -> DataFrame:
     """(id, path, license, score, how, origin): how is header, file or inherited; origin is the directory inherited from."""
-    matches = cut(license_matches(docs, model, text_col=text_col), "licenses")
+    matches = license_matches(docs, model, text_col=text_col)
+    if model.files:
+        matches = matches.unionByName(license_matches(docs, model.files, text_col=text_col, by_line=False))
+    matches = cut(matches, "licenses")
     best = F.struct(-F.col("score"), F.col("license"))
     headers = matches.where("unit >= 0").groupBy("key").agg(F.min_by("license", best).alias("header"), F.max("score").alias("header_score"))
-    files = matches.where("unit = -1").select("key", F.col("license").alias("file"), F.col("score").alias("file_score"))
+    files = matches.where("unit = -1").groupBy("key").agg(F.min_by("license", best).alias("file"), F.max("score").alias("file_score"))
     by_text = headers.join(files, "key", "full")
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{path_col}`").alias("path"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
     rows = rows.join(by_text, "key", "left").withColumn("dir", parent(F.col("path")))

@@ -1,6 +1,7 @@
 """Token counts, secrets, fingerprints, licenses, quality and byte-level BPE against brute force."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -178,6 +179,18 @@ def test_license_inheritance(spark):
     assert licenses.license_scan(docs.limit(0), licenses.fit_licenses(docs.limit(0))).count() == 0
 
 
+def test_whole_license_files_license_their_directory(spark):
+    full = {name: "Copyright (c) 2020 The Authors\n\n" + "\n".join(re.findall(r"(?s).{1,70}(?:\s|$)", text)) for name, text in licenses.FILE_TEMPLATES}
+    rows = [(i, f"{name}/{file}", text) for name, whole in full.items() for i, (file, text) in enumerate([("LICENSE", whole), ("src/x.py", "plain words only")])]
+    rows += [(9 + i, f"prose/{i}.txt", f"plain prose number {i} without any notice, of the use of words") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.path: r for r in licenses.license_scan(docs, licenses.fit_licenses(docs)).collect()}
+    for name in full:
+        assert got[f"{name}/LICENSE"].license == name
+        assert (got[f"{name}/src/x.py"].license, got[f"{name}/src/x.py"].how, got[f"{name}/src/x.py"].origin) == (name, "inherited", name)
+    assert not any(r.license for path, r in got.items() if path.startswith("prose/"))
+
+
 def test_quality_on_rows_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op7_quality"](spark, sf).collect()}
