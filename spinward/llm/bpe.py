@@ -6,7 +6,10 @@ by an ordered aggregation. Ids and bytes of a document are those of its words in
 however often it occurs. A task keeps the words of its partition in two generations of `cache_size` words; words that one
 generation has not met are forgotten and encoded anew when they come again.
 
-Null and empty texts have no ids. Repeated rows give repeated results, an empty table gives none, null ids stay null.
+A word of more than 64 bytes is encoded by stretches, which are joined where the seam between them holds and encoded
+anew around it where it doesn't, so the work grows with the length of a word, not its square.
+
+Null and empty texts have no ids. Words may have any length. Repeated rows give repeated results, an empty table gives none, null ids stay null.
 Other columns of the input are not read.
 """
 
@@ -23,8 +26,7 @@ from pyspark.sql import DataFrame
 from spinward.llm.common import bounded_batches, keep, pieces
 
 #: A word is a list of tokens; each step lays it out as token-position rows, which join the merge table, and contracts the
-#: pair of least rank, the leftmost of several. Finished words drop out. Words have 64 bytes at most, so a key of rank and
-#: position orders pairs.
+#: pair of least rank, the leftmost of several. Finished words drop out. A key of rank and position orders pairs.
 ENCODE = """
 WITH RECURSIVE bpe AS (
     SELECT w, ts, 0 AS step FROM seed
@@ -40,34 +42,41 @@ WITH RECURSIVE bpe AS (
 SELECT w, arg_max(ts, step) AS ts FROM bpe GROUP BY w
 """
 
-#: The same for long words: all occurrences of the pair of least rank, from the left, none over another. A pair that holds
-#: a merged token ranks behind it, so this is what one contraction after the other comes to. It stops after some steps.
+#: The same for stretches of a thousand bytes and more: all occurrences of the pair of least rank, from the left, none over
+#: another, up to and with the first whose contraction makes a pair of lower rank, which comes next then. That is what one
+#: contraction after the other comes to, for any merge table. It stops after some steps.
 ENCODE_LONG = """
 WITH RECURSIVE bpe AS (
     SELECT w, p, t, 0 AS step FROM seed
     UNION ALL
     (WITH pair AS (
-        SELECT a.w, a.p, m.n
-        FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS r FROM bpe WHERE step < {steps}) a
+        SELECT a.w, a.p, m.n, a.before, a.after
+        FROM (SELECT w, p, t, lead(t) OVER s AS r, lag(t) OVER s AS before, lead(t, 2) OVER s AS after
+              FROM bpe WHERE step < {steps} WINDOW s AS (PARTITION BY w ORDER BY p)) a
         JOIN merges m ON a.t = m.l AND a.r = m.r),
     low AS (SELECT w, min(n) AS n FROM pair GROUP BY w),
-    run AS (SELECT pair.w, p, n, p - row_number() OVER (PARTITION BY pair.w ORDER BY p) AS run FROM pair JOIN low USING (w, n)),
-    hit AS (SELECT w, p, n FROM (SELECT *, p - min(p) OVER (PARTITION BY w, run) AS nth FROM run) WHERE nth % 2 = 0)
+    run AS (SELECT pair.*, p - row_number() OVER (PARTITION BY pair.w ORDER BY p) AS run FROM pair JOIN low USING (w, n)),
+    each AS (SELECT w, p, n, CASE WHEN nth > 0 THEN n ELSE before END AS before, after
+             FROM (SELECT *, p - min(p) OVER (PARTITION BY w, run) AS nth FROM run) WHERE nth % 2 = 0),
+    stop AS (SELECT e.w, min(e.p) AS p FROM each e
+             LEFT JOIN merges x ON x.l = e.before AND x.r = e.n LEFT JOIN merges y ON y.l = e.n AND y.r = e.after
+             WHERE x.n < e.n OR y.n < e.n GROUP BY e.w),
+    hit AS (SELECT e.w, e.p, e.n FROM each e LEFT JOIN stop s ON s.w = e.w WHERE s.p IS NULL OR e.p <= s.p)
     SELECT x.w, (row_number() OVER (PARTITION BY x.w ORDER BY x.p) - 1)::INT, coalesce(h.n, x.t), x.step + 1
     FROM bpe x JOIN low ON x.w = low.w LEFT JOIN hit h ON h.w = x.w AND h.p = x.p LEFT JOIN hit g ON g.w = x.w AND g.p = x.p - 1
     WHERE g.w IS NULL)
 ), last AS (SELECT w, max(step) AS step FROM bpe GROUP BY w)
 SELECT w, p, t, step FROM bpe JOIN last USING (w, step)
 """
-LONG = 64  # bytes
+#: Words of more bytes are encoded by stretches of as many.
+LONG = 64
+#: The bytes of what ENCODE takes at most: positions are below 1,024.
+MOST = 1000
 
 DECODE = """
-SELECT f.w, f.ts AS ids, d.bytes
-FROM fixpoint f JOIN (
-    SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
-    FROM (SELECT w, unnest(range(len(ts))) AS p, unnest(ts) AS t FROM fixpoint) JOIN vocabulary v ON v.id = t
-    GROUP BY w) d USING (w)
-ORDER BY f.w
+SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
+FROM (SELECT w, unnest(range(len(ts))) AS p, unnest(ts) AS t FROM fixpoint) JOIN vocabulary v ON v.id = t
+GROUP BY w ORDER BY w
 """
 
 
@@ -83,6 +92,8 @@ class WordCodec:
         import duckdb
 
         self.ranks = read_ranks(path)
+        self.of_token = {n: t for t, n in self.ranks.items()}
+        self.seams: dict[tuple[int, int], bool] = {}
         left, right, made = [], [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -99,24 +110,19 @@ class WordCodec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_")
 
     def seed(self, words: list[bytes]) -> pa.Table:
-        """(w, ts): the words' bytes as tokens; a word that is a token itself is that one, as the library looks it up first."""
-        whole = [self.ranks.get(w) for w in words]
-        sizes = np.array([len(w) if t is None else 1 for w, t in zip(words, whole, strict=True)], np.int32)
-        tokens = np.empty(int(sizes.sum()), np.int32)
-        is_byte = np.repeat(np.array([t is None for t in whole], bool), sizes)
-        tokens[is_byte] = self.of_byte[np.frombuffer(b"".join(w for w, t in zip(words, whole, strict=True) if t is None), np.uint8)]
-        tokens[~is_byte] = [t for t in whole if t is not None]
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)
+        """(w, ts): the words' bytes as tokens."""
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int32)]).astype(np.int32)
+        tokens = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         return pa.table({"w": pa.array(np.arange(len(words), dtype=np.int32)), "ts": pa.ListArray.from_arrays(ends, tokens)})
 
-    def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """For each word its ids, as little-endian 32-bit integers, and what these ids decode to. Words are short or all long."""
+    def contract(self, words: list[bytes]) -> list[list[int]]:
+        """The tokens of each word when no pair of them can merge any more. Words have MOST bytes at most, or all have more."""
         if not words:
             return []
         self.db.register("seed_", self.seed(words))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT * FROM seed_")
-        if max(map(len, words)) <= LONG:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE fixpoint AS {ENCODE}")
+        if max(map(len, words)) <= MOST:
+            self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT * FROM seed_")
+            out = self.db.sql(f"SELECT ts FROM ({ENCODE}) ORDER BY w").fetchnumpy()["ts"]
         else:  # some steps at a time, so that a query holds a few states of the words, not all
             self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT w, unnest(range(len(ts)))::INT AS p, unnest(ts) AS t FROM seed_")
             steps = max(1, 2_000_000 // sum(map(len, words)))
@@ -125,14 +131,94 @@ class WordCodec:
                 if self.db.execute("SELECT coalesce(max(step), 0) FROM reached").fetchall()[0][0] < steps:
                     break
                 self.db.execute("CREATE OR REPLACE TEMP TABLE seed AS SELECT w, p, t FROM reached")
-            self.db.execute("CREATE OR REPLACE TEMP TABLE fixpoint AS SELECT w, list(t ORDER BY p) AS ts FROM reached GROUP BY w")
-        out = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+            out = self.db.sql("SELECT list(t ORDER BY p) AS ts FROM reached GROUP BY w ORDER BY w").fetchnumpy()["ts"]
         self.db.unregister("seed_")
-        ids = out.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        packed = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = ids.offsets.to_numpy().tolist()
-        return [(packed[4 * a : 4 * b], x) for a, b, x in zip(ends, ends[1:], out.column("bytes").to_pylist(), strict=False)]
+        return [x.tolist() for x in out]
+
+    # --- long words
+    #
+    # Two encodings that stand side by side are the encoding of the whole if the tokens at the seam, encoded together, stay
+    # as they are: merges within a token follow each other alike whatever is beside it, and a merge over the seam would
+    # be met by these two tokens alone. So stretches are encoded apart, and only what is beside a seam that does not hold is
+    # encoded anew. The number of steps depends on the length of stretches, not on that of words.
+
+    def bytes_of(self, tokens: list[int]) -> bytes:
+        return b"".join(map(self.of_token.__getitem__, tokens))
+
+    def holds(self, seams: list[tuple[int, int]]) -> list[bool]:
+        """Whether two tokens that stand side by side stay apart."""
+        if len(self.seams) > 400_000:
+            self.seams.clear()
+        new = list({s for s in seams if s not in self.seams})
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for s, got in zip(some, self.contract([self.bytes_of(list(s)) for s in some]), strict=True):
+                self.seams[s] = got == list(s)
+        return [self.seams[s] for s in seams]
+
+    def join(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The encoding of the bytes of each two encodings together."""
+        out: list[list[int] | None] = [a + b if ok else None for (a, b), ok in zip(pairs, self.holds([(a[-1], b[0]) for a, b in pairs]), strict=True)]
+        for k in (2, 8):  # so many tokens on either side of the seam
+            todo = [i for i, x in enumerate(out) if x is None]
+            middles = self.contract([self.bytes_of(pairs[i][0][-k:] + pairs[i][1][:k]) for i in todo])
+            seams = [s for i, m in zip(todo, middles, strict=True) for s in (((pairs[i][0][-k - 1 : -k] or [None])[0], m[0]), (m[-1], (pairs[i][1][k : k + 1] or [None])[0]))]
+            ok = iter(self.holds([s for s in seams if None not in s]))
+            fine = [None in s or next(ok) for s in seams]
+            for n, (i, m) in enumerate(zip(todo, middles, strict=True)):
+                if fine[2 * n] and fine[2 * n + 1]:
+                    out[i] = pairs[i][0][:-k] + m + pairs[i][1][k:]
+        return [self.creep(a, b) if x is None else x for (a, b), x in zip(pairs, out, strict=True)]
+
+    def creep(self, a: list[int], b: list[int], step: int = 4096) -> list[int]:
+        """The same for one pair: back into a as far as it takes, then on through b until a seam holds."""
+        done, ahead = list(a), 0
+        while True:
+            head, k = b[ahead : ahead + step], 32
+            while True:
+                some = self.contract([self.bytes_of(done[-k:] + head)])[0]
+                if len(done) <= k or self.holds([(done[-k - 1], some[0])])[0]:
+                    break
+                k *= 4
+            done[-k:] = some
+            ahead += step
+            if ahead >= len(b):
+                return done
+            if self.holds([(done[-1], b[ahead])])[0]:
+                return done + b[ahead:]
+
+    def encode_long(self, words: list[bytes], stretch: int = LONG) -> list[list[int]]:
+        """Tokens of words of any length, by stretches that are joined two by two."""
+        cuts = [[w[i : i + stretch] for i in range(0, len(w), stretch)] for w in words]
+        kinds = list(set().union(*cuts))
+        known: dict[bytes, list[int]] = {}
+        for at in range(0, len(kinds), 4000):
+            some = kinds[at : at + 4000]
+            known.update(zip(some, self.contract(some), strict=True))
+        parts = [[known[s] for s in c] for c in cuts]
+        while any(len(p) > 1 for p in parts):
+            joined = iter(self.join([(p[i], p[i + 1]) for p in parts for i in range(0, len(p) - 1, 2)]))
+            parts = [[next(joined) if i + 1 < len(p) else p[i] for i in range(0, len(p), 2)] for p in parts]
+        return [p[0] for p in parts]
+
+    def encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """For each word its ids, as little-endian 32-bit integers, and what these ids decode to. Words are short or all long.
+
+        A word that is a token itself is that one: the library looks it up first.
+        """
+        if not words:
+            return []
+        whole = [self.ranks.get(w) for w in words]
+        rest = [w for w, t in zip(words, whole, strict=True) if t is None]
+        made = iter(self.contract(rest) if max(map(len, words)) <= LONG else self.encode_long(rest))
+        tokens = [next(made) if t is None else [t] for t in whole]
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens], dtype=np.int32)]).astype(np.int32)
+        flat = np.fromiter((x for t in tokens for x in t), np.int32, int(ends[-1]))
+        self.db.register("fixpoint", pa.table({"w": pa.array(np.arange(len(words), dtype=np.int32)), "ts": pa.ListArray.from_arrays(ends, flat)}))
+        decoded = self.db.sql(DECODE).to_arrow_table().column("bytes").to_pylist()
+        self.db.unregister("fixpoint")
+        packed = flat.astype("<u4").tobytes()
+        return [(packed[4 * a : 4 * b], x) for a, b, x in zip(ends[:-1].tolist(), ends[1:].tolist(), decoded, strict=True)]
 
 
 @functools.lru_cache(2)

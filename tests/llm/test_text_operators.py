@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from spinward.llm import bpe, imatch, licenses, quality, secrets, token_counts
 from spinward.llm.queries import QUERIES
@@ -50,6 +52,45 @@ def test_bpe_equals_the_library(spark, sf_dir):
     assert bpe.bpe_round_trip(empty_docs(spark), path, P.PATTERN).count() == 0
 
 
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.WordCodec(P.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@pytest.fixture(scope="module")
+def library(codec):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=codec.ranks, special_tokens={})
+
+
+LONG_WORDS = {"letters": ("abcdefghijklmnopqrstuvwxyz", 200_000), "dna": ("ACGT", 1_000_000), "base64": (secrets.ALPHABET[:64], 200_000), "unspaced": ("的一是不了人我在有他这为之大来以个中上们到说国和地也子时", 60_000), "one": ("x", 300_001), "two": ("=-", 100_000)}
+
+
+@pytest.mark.parametrize("name", LONG_WORDS)
+def test_words_of_any_length_equal_the_library(codec, library, name):
+    letters, n = LONG_WORDS[name]
+    word = "".join(np.random.default_rng(3).choice(list(letters), n))
+    ids, decoded = codec.encode([word.encode()])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(word) and decoded == word.encode()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("athe nxyz-=", min_size=20, max_size=60), min_size=1, max_size=4), st.integers(2, 9), st.integers(1, 5))
+def test_stretches_join_to_the_same_tokens(codec, library, words, stretch, step):
+    want = [library.encode_ordinary(w) for w in words]
+    raw_words = [w.encode() for w in words]
+    assert [t for t, w in zip(codec.encode_long(raw_words, stretch), words, strict=True)] == want
+    for w, t in zip(raw_words, want, strict=True):
+        a, b = codec.contract([w[:stretch]])[0], codec.contract([w[stretch:]])[0]
+        assert codec.creep(a, b, step) == t
+
+
+def test_windows_of_thousands_of_bytes_equal_the_library(codec, library):
+    for word in ("the quick brown fox " * 120, "thing" * 300, "x" * 2001, "ab" * 999 + "c" * 999):
+        assert codec.contract([word.encode()])[0] == library.encode_ordinary(word)
+
+
 @pytest.fixture(scope="module")
 def markov(spark):
     return secrets.train_markov(secrets.labelled_samples(spark))
