@@ -1,12 +1,13 @@
 """Operator 2, secret scans, by DataFrame functions alone.
 
 Base spans come from three patterns (assignments, access keys, hexadecimal runs). The method adds others: runs of
-key-like characters are scored by two character Markov models, of random strings and of ordinary identifiers. A run whose
-log-likelihood ratio reaches `threshold` nats becomes a span of kind `random`, unless it overlaps a base span. In other
+key-like characters, without what base spans cover, are scored by two character Markov models, of random strings and of
+ordinary identifiers. A run whose log-likelihood ratio reaches `threshold` nats becomes a span of kind `random`. In other
 runs every stretch of `min_run` characters or more is scored, so that a name or path before or after a key cannot cancel
-it: the best stretches that reach the threshold, widened to whole letter and digit groups, are spans unless they overlap
-a base span. Stretches with less than `threshold` nats of ordinary characters between them are one.
-Positions are code points, ends exclusive.
+it: the best stretches that reach the threshold, widened to whole letter and digit groups, are spans. Stretches with less
+than `threshold` nats of ordinary characters between them are one. Positions are code points, ends exclusive.
+
+Work grows with the length of a text, or with the power 1.5 of its number of matches where that is more.
 
 Null texts count as empty and have no spans. Repeated rows give repeated results, an empty table gives none, null ids
 stay null. Other columns of the input are not read.
@@ -28,6 +29,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+GROUPED = 63  # the first of these, without separators
+#: Texts are cut into blocks of so many code points, since the way to a place in a text leads through all before it.
+BLOCK = 1024
 #: Words of identifiers; ordinary samples are put together from them.
 IDENTIFIER_WORDS = (
     "account action active address after agent allow amount answer append archive argument array asset async attribute author available average background balance batch before binary block body border branch "
@@ -78,56 +82,80 @@ class MarkovPair:
     ratios: tuple[int, ...]
 
     def steps(self, text: Column) -> Column:
-        """The ratio of each transition, in thousandths of a nat."""
+        """(before, code, ratio) of each transition: the characters' places in ALPHABET, and thousandths of a nat."""
         k = len(ALPHABET)
         table = F.split(F.lit(",".join(map(str, self.ratios))), ",").cast("array<int>")
         codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
         n = F.greatest(F.length(text) - 1, F.lit(0))
-        return _let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.element_at(table, (a - 1) * k + b)))
+        return _let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.struct(a.alias("before"), b.alias("code"), F.element_at(table, (a - 1) * k + b).alias("ratio"))))
 
     def ratio(self, text: Column) -> Column:
         """Nats by which `text`, of characters of ALPHABET, is likelier as a random string."""
-        return F.aggregate(self.steps(text), F.lit(0), lambda acc, x: acc + x) / 1000.0
+        return F.aggregate(self.steps(text), F.lit(0).cast("long"), lambda acc, x: acc + x["ratio"]) / 1000.0
 
     def stretches(self, text: Column, least: int, threshold: float) -> Column:
-        """(start, end) of the stretches of `least` characters or more of `text` whose ratio reaches `threshold`.
+        """(start, end) of the stretches of `least` characters or more of `text` whose ratio reaches `threshold`, widened.
 
         One pass over sums of ratios: a stretch runs from the least sum that is `least` characters or more behind to the
-        greatest since, and is closed once the sum has fallen by `threshold`, from where the next one may start.
+        greatest since, and is closed once the sum has fallen by `threshold`, from where the next one may start. A stretch
+        starts after the last separator before it and ends before the next one; one that is closed within such a group of
+        letters, digits and plus signs is held until the group ends.
         """
         limit = round(1000 * threshold)
-        pair = "array<struct<start:int,end:int>>"
-        none = F.lit(None).cast("int")
-        zero = F.struct(
-            F.lit(0).alias("at"), F.lit(0).alias("sum"), F.array(F.lit(0)).alias("late"), F.lit(0).alias("floor"), none.alias("low"), none.alias("low_at"),
-            F.lit(0).alias("best"), none.alias("start"), none.alias("end"), F.lit(0).alias("top"), F.array().cast(pair).alias("out"),
-        )
-
-        def moved(acc: Column, ratio: Column) -> Column:
-            """One character on: the sum up to it, and the sums of the last `least` characters, the first of them in front."""
-            late = F.concat(acc["late"], F.array(acc["sum"] + ratio))
-            return acc.withField("at", acc["at"] + 1).withField("sum", acc["sum"] + ratio).withField("late", F.when(F.size(late) > least, F.slice(late, 2, least)).otherwise(late))
-
-        def lowered(acc: Column) -> Column:
-            start, first = acc["at"] - (least - 1), F.element_at(acc["late"], 1)
-            lower = (start >= acc["floor"]) & (acc["low"].isNull() | (first < acc["low"]))
-            return F.when(lower, acc.withField("low", first).withField("low_at", start)).otherwise(acc)
+        none, pairs = F.lit(None).cast("int"), F.array().cast("array<struct<start:int,end:int>>")
+        start = {
+            "at": F.lit(0), "sum": F.lit(0), "group": F.lit(0), "late_sum": F.lit(0), "late_group": F.lit(0), "floor": F.lit(0), "low": none, "low_at": none,
+            "best": F.lit(0), "start": none, "end": none, "top": F.lit(0), "open": F.lit(False), "held": none, "done": F.lit(0), "out": pairs,
+        }
+        kinds = {k: "int" for k in start} | {k: "long" for k in ("sum", "late_sum", "low", "best", "top")} | {"open": "boolean"}
+
+        def changed(acc: Column, **new: Column) -> Column:
+            return F.struct(*[(new[k].cast(v) if k in new and k != "out" else new.get(k, acc[k])).alias(k) for k, v in kinds.items()])
+
+        def added(acc: Column, when: Column, a: Column, b: Column) -> dict[str, Column]:
+            span = F.struct(F.greatest(a, acc["done"]).alias("start"), b.alias("end"))
+            return {"out": F.when(when & (b > acc["done"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]), "done": F.when(when, b).otherwise(acc["done"])}
+
+        def moved(acc: Column, x: Column) -> Column:
+            """One character on: the sum up to it, and that up to the character from which on they are `least`."""
+            at = acc["at"] + 1
+            parted = x["code"] > GROUPED
+            late_group = F.when(x["late"]["before"] > GROUPED, at - (least - 1)).otherwise(acc["late_group"])
+            more = added(acc, parted & acc["held"].isNotNull(), acc["held"], at)
+            return changed(acc, at=at, sum=acc["sum"] + x["ratio"], late_sum=acc["late_sum"] + F.coalesce(x["late"]["ratio"], F.lit(0)), late_group=late_group, open=acc["open"] & ~parted, end=F.when(acc["open"] & ~parted, at + 1).otherwise(acc["end"]), held=F.when(~parted, acc["held"]), **more)
 
         def raised(acc: Column) -> Column:
-            gain = acc["sum"] - acc["low"]
-            return F.when(gain > acc["best"], acc.withField("best", gain).withField("start", acc["low_at"]).withField("end", acc["at"] + 1).withField("top", acc["sum"])).otherwise(acc)
+            lower = (acc["at"] - (least - 1) >= acc["floor"]) & (acc["low"].isNull() | (acc["late_sum"] < acc["low"]))
+            low, low_at = F.when(lower, acc["late_sum"]).otherwise(acc["low"]), F.when(lower, acc["late_group"]).otherwise(acc["low_at"])
+            better = F.coalesce(acc["sum"] - low > acc["best"], F.lit(False))
+
+            def new(name: str, value: Column) -> Column:
+                return F.when(better, value).otherwise(acc[name])
 
-        def out(acc: Column) -> Column:
-            return F.when(acc["best"] >= limit, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+            return changed(acc, low=low, low_at=low_at, best=new("best", acc["sum"] - low), start=new("start", low_at), end=new("end", acc["at"] + 1), top=new("top", acc["sum"]), open=acc["open"] | better)
 
         def closed(acc: Column) -> Column:
             fallen = (acc["best"] >= limit) & (acc["top"] - acc["sum"] >= limit)
-            return F.when(fallen, acc.withField("out", out(acc)).withField("floor", acc["at"]).withField("low", none).withField("best", F.lit(0))).otherwise(acc)
+            more = added(acc, ~acc["open"], acc["start"], acc["end"])
+            held = F.when(acc["open"], F.coalesce(acc["held"], acc["start"])).otherwise(acc["held"])
+            return F.when(fallen, changed(acc, floor=acc["at"], low=none, best=F.lit(0), open=F.lit(False), held=held, **more)).otherwise(changed(acc))
+
+        def last(acc: Column) -> Column:
+            end = F.when(acc["held"].isNotNull() | acc["open"], acc["at"] + 1).otherwise(acc["end"])
+            return added(acc, acc["held"].isNotNull() | (acc["best"] >= limit), F.coalesce(acc["held"], acc["start"]), end)["out"]
 
-        def step(acc: Column, ratio: Column) -> Column:
-            return _let(_let(_let(moved(acc, ratio), lowered), raised), closed)
+        def over(acc: Column, block: Column) -> Column:
+            # every step copies the state, so what is found leaves it block by block
+            state = F.aggregate(block, acc["state"], lambda st, x: _let(_let(moved(st, x), raised), closed))
+            return _let(state, lambda st: F.struct(changed(st, out=pairs).alias("state"), F.concat(acc["all"], st["out"]).alias("all")))
 
-        return F.aggregate(self.steps(text), zero, step, out)
+        def of(steps: Column) -> Column:
+            late = F.concat(F.array_repeat(F.lit(None).cast("struct<before:int,code:int,ratio:int>"), least - 1), steps)
+            pieces = F.zip_with(steps, F.slice(late, F.lit(1), F.size(steps)), lambda x, y: F.struct(x["code"].alias("code"), x["ratio"].alias("ratio"), y.alias("late")))
+            return _let(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, BLOCK)))
+
+        zero = F.struct(F.struct(*[(v if k == "out" else v.cast(kinds[k])).alias(k) for k, v in start.items()]).alias("state"), pairs.alias("all"))
+        return F.aggregate(_let(self.steps(text), of), zero, over, lambda acc: F.concat(acc["all"], last(acc["state"])))
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -135,6 +163,27 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _running(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each of the values (none below 0) what `plus` makes of all before it, 0 for the first.
+
+    Arrays grow by copies, so they grow within blocks of about the root of their number.
+    """
+
+    def run(some: Column) -> Column:
+        return F.aggregate(some, F.array(F.lit(0)).cast("array<int>"), lambda acc, x: F.concat(acc, F.array(plus(F.element_at(acc, -1), x))))
+
+    def of(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda i: F.slice(v, i * size + 1, size))
+        return _let(F.transform(blocks, run), lambda within: _let(run(F.transform(within, lambda w: F.element_at(w, -1))), lambda starts: F.flatten(F.transform(within, lambda w, i: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x: plus(F.get(starts, i), x))))))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(of(v)))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def train_markov(samples: DataFrame, smooth: float = 0.5) -> MarkovPair:
     """Counts transitions of both labels; at most 2 * len(ALPHABET) squared counts come to the driver."""
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring(F.col("text"), i, F.lit(2))))
@@ -152,62 +201,70 @@ def train_markov(samples: DataFrame, smooth: float = 0.5) -> MarkovPair:
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """(start, end, inner) of all leftmost matches that don't overlap, from the gaps between them; inner is what `group` holds."""
+    found, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    sizes = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), inner.alias("inner")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), x["inner"].alias("inner")))
 
-def _spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
-    """All leftmost matches that don't overlap, with what `group` holds, from the gaps and the matches in turn."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), inner.alias("inner")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), x["inner"].alias("inner")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,inner:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + x["hit"]).alias("end"), F.lit(kind).alias("kind"), x["inner"].alias("inner"))
-        return F.struct((start + x["hit"]).alias("at"), F.when(x["hit"] > 0, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(all_: Column) -> Column:
+        before = _running(F.transform(all_, lambda x: x["gap"] + x["hit"]), _sum)
+        at = F.zip_with(all_, before, lambda x, b: F.struct((b + x["gap"]).alias("start"), (b + x["gap"] + x["hit"]).alias("end"), x["inner"].alias("inner")))
+        return F.filter(at, lambda x: x["end"] > x["start"])
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    return _let(sizes, placed)
 
 
-def _plain(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+def _span(kind: str, start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
 
 
-def _overlaps(s: Column, spans: str) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with what spans cover replaced, where a span starts that no earlier one covers, by mark(characters covered by it).
 
+    Spans come by start; characters that two spans cover count for the first.
+    """
 
-def _within(model: MarkovPair, run: Column, least: int, threshold: float) -> Column:
-    """Spans of the stretches of a run that reach the threshold, each widened to whole groups of letters, digits and plus signs."""
-    group = "^[A-Za-z0-9+]*"
+    def of(blocks: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            some = F.transform(F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")), lambda i: F.substring(F.get(blocks, i), F.greatest(a - i * BLOCK, F.lit(0)) + 1, b - i * BLOCK - F.greatest(a - i * BLOCK, F.lit(0))))
+            return F.when(a < b, F.array_join(some, "")).otherwise("")
 
-    def span(s: Column) -> Column:
-        before, after = F.reverse(F.substring(run["inner"], F.lit(1), s["start"])), F.substring(run["inner"], s["end"] + 1, F.length(run["inner"]))
-        start, end = s["start"] - F.length(F.regexp_extract(before, group, 0)), s["end"] + F.length(F.regexp_extract(after, group, 0))
-        return F.struct((run["start"] + start).alias("start"), run["rank"].alias("rank"), (run["start"] + end).alias("end"), run["kind"].alias("kind"))
+        reached = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        parts = F.zip_with(spans, reached, lambda s, r: F.concat(between(r, s["start"]), mark(F.struct(s["start"], s["end"], r.alias("reached")))))
+        return F.concat(F.array_join(parts, ""), between(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    return F.array_distinct(F.transform(model.stretches(run["inner"], least, threshold), span))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), of))
 
 
-def secret_spans(docs: DataFrame, model: MarkovPair, *, id_col: str = "doc_id", text_col: str = "text", min_value: int = 8, min_run: int = 20, threshold: float = 10.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, base, spans): arrays of (start, rank, end, kind) by start, then by kind as in KINDS; `carry` names columns to keep."""
-    docs = keep(docs, id_col, text_col, *carry)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+def _with_spans(docs: DataFrame, model: MarkovPair, text_col: str, min_value: int, min_run: int, threshold: float) -> DataFrame:
+    """(row, text, base, spans): the caller's columns are all within row, so that none can clash."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    text = F.col("text")
     none = F.array().cast(SPAN)
     run = f"[{ALPHABET.replace('-', '')}-]{{{min_run},}}"
 
-    def where(pattern: str, spans: Column) -> Column:
-        return F.when(text.rlike(pattern), spans).otherwise(none)
+    def all_of(pattern: str, kind: str) -> Column:
+        return F.when(text.rlike(pattern), F.transform(_matches(text, pattern), lambda m: _span(kind, m["start"], m["end"]))).otherwise(none)
 
-    assign = where(ASSIGN, _plain(F.filter(_spans(text, ASSIGN, "assign", 1), lambda s: F.length(s["inner"]) >= min_value)))
-    base = F.array_sort(F.concat(assign, where(ACCESS, _plain(_spans(text, ACCESS, "access"))), where(HEX, _plain(_spans(text, HEX, "hex")))))
-    with_base = docs.withColumn("base", base).withColumn("_runs", F.when(text.rlike(run), _spans(text, run, "random")))
+    assign = F.transform(F.filter(_matches(text, ASSIGN, 1), lambda m: F.length(m["inner"]) >= min_value), lambda m: _span("assign", m["start"], m["end"]))
+    rows = rows.withColumn("base", F.array_sort(F.concat(F.when(text.rlike(ASSIGN), assign).otherwise(none), all_of(ACCESS, "access"), all_of(HEX, "hex"))))
+    # what is left of a run beside base spans is a run of its own
+    rows = rows.withColumn("left", F.when(text.rlike(run), _replaced(text, F.col("base"), lambda s: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], s["reached"]), F.lit(0))))))
 
-    def of_run(r: Column) -> Column:
-        whole = (model.ratio(r["inner"]) >= threshold) & ~_overlaps(r, "base")
-        return F.when(whole, _plain(F.array(r))).otherwise(F.filter(_within(model, r, min_run, threshold), lambda s: ~_overlaps(s, "base")))
+    def of_run(m: Column) -> Column:
+        whole = model.ratio(m["inner"]) >= threshold
+        parts = F.transform(model.stretches(m["inner"], min_run, threshold), lambda s: _span("random", m["start"] + s["start"], m["start"] + s["end"]))
+        return F.when(whole, F.array(_span("random", m["start"], m["end"]))).otherwise(parts)
 
-    with_base = with_base.withColumn("_random", F.coalesce(F.flatten(F.transform("_runs", of_run)), none))
-    return with_base.withColumn("spans", F.when(F.size("_random") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "_random")))).select(id_col, *[c for c in carry if c != id_col], "base", "spans")
+    rows = rows.withColumn("random", F.when(F.col("left").rlike(run), F.flatten(F.transform(_matches(F.col("left"), run), of_run))).otherwise(none))
+    return rows.select("row", "text", "base", F.when(F.size("random") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "random"))).alias("spans"))
+
+
+def secret_spans(docs: DataFrame, model: MarkovPair, *, id_col: str = "doc_id", text_col: str = "text", min_value: int = 8, min_run: int = 20, threshold: float = 10.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, base, spans): arrays of (start, rank, end, kind) by start, then by kind as in KINDS; `carry` names columns to keep."""
+    own = list(dict.fromkeys((id_col, *carry)))
+    found = _with_spans(keep(docs, *dict.fromkeys((*own, text_col))), model, text_col, min_value, min_run, threshold)
+    return found.select(*[F.col("row")[c].alias(c) for c in own], "base", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -217,22 +274,19 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every stretch that spans cover replaced by `mark`."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return _replaced(text, spans, lambda s: F.when(s["start"] >= s["reached"], F.lit(mark)).otherwise(""))
+
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
+def redact_secrets(docs: DataFrame, model: MarkovPair, *, text_col: str = "text", length_col: str | None = "n_chars", min_value: int = 8, min_run: int = 20, threshold: float = 10.0) -> DataFrame:
+    """docs with their secrets replaced and, if there is such a column, the length in code points set anew.
 
-    new = F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(new)
+    All other columns, whatever their names, stay as they are; null texts stay null.
+    """
+    found = _with_spans(docs, model, text_col, min_value, min_run, threshold)
+    found = found.select("row", "spans", redacted(F.col("text"), F.col("spans")).alias("text"))
 
+    def column(c: str) -> Column:
+        new = {text_col: F.col("text"), length_col: F.length("text").cast(docs.schema[c].dataType)}.get(c)
+        return (F.col("row")[c] if new is None else F.when(F.size("spans") > 0, new).otherwise(F.col("row")[c])).alias(c)
 
-def redact_secrets(docs: DataFrame, model: MarkovPair, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with their secrets replaced and, if there is such a column, the length in code points set anew."""
-    columns = docs.columns
-    out = secret_spans(docs, model, id_col=text_col, text_col=text_col, carry=tuple(c for c in columns if c != text_col))
-    out = out.withColumn(text_col, redacted(F.col(text_col), F.col("spans")))
-    if length_col in columns:
-        out = out.withColumn(length_col, F.when(F.size("spans") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*columns)
+    return found.select(*[column(c) for c in docs.columns])
