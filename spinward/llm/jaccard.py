@@ -8,8 +8,10 @@ Equal sets are one node, known by a digest of 128 bits. Nodes are linked in thre
    each split where sizes are too far apart. A list of up to `short` nodes gives its pairs; those that share too few of
    the first members for the similarity (prefixes are `extra` members longer than needed) fall out. A longer list ties
    its nodes to one of them.
-2. Families. Nodes tied by candidates, directly or not, form a family, found by passing on least labels.
-3. Links. A family's sets meet in one task; one of more than `block` nodes is dealt over several (see `_link_big`).
+2. Families. Nodes tied by candidates, directly or not, form a family, found by passing on least labels. In families too
+   large for one task candidates are sought once more, with exact frequencies of all their members (see `_refined`).
+3. Links. A family's sets meet in one task; one of more than `block` nodes or `most_members` members is dealt over several
+   (see `_link_big`). Sets are told apart by all 128 bits here; candidates go by 64 of them, which can only add ties.
    There `link_sets` joins them exactly: index lists kept by size, in blocks that carry the best position and the
    component of their entries, so that whole blocks are passed over; and answers of a set are derived from those of a
    similar set by the triangle inequality on the size of symmetric differences, before sets are compared at all.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinward.llm.common import bounded_batches, cut, keep, raw
@@ -60,30 +62,35 @@ def node_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def text_key(text_col: str) -> Column:
+    """Tells rows of equal id apart; null is as empty."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 # --- sets and frequencies
 
 
 def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, node, member, n): a row per document, and rows of members that a batch holds twice or more.
+    """(doc_id, key, n_shingles, digest, node, member, n): a row per document, and rows of members that a batch holds twice or more.
 
     Batches are parts of partitions, of about `MEMBERS_HELD` members. Rows of documents have a null member; rows of members
     have a null digest. A member in more documents than there are batches is held twice by one of them at least, so no
     frequent one is missed; its count may be too low.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    names = ["doc_id", "n_shingles", "digest", "node", "member", "n"]
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), text_key(text_col).alias("key"))
+    names = ["doc_id", "key", "n_shingles", "digest", "node", "member", "n"]
 
-    def of_documents(ids: pa.Array, sizes: list[int], digests: list) -> pa.RecordBatch:
+    def of_documents(ids: pa.Array, keys: pa.Array, sizes: list[int], digests: list) -> pa.RecordBatch:
         n = len(ids)
-        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([node_of(d) for d in digests], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
+        return pa.RecordBatch.from_arrays([ids, keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([node_of(d) for d in digests], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
 
     def of_members(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         members, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
         members, n = members[n > 1].view(np.int64), n[n > 1]
         for at in range(0, len(members), 100_000):
             some = members[at : at + 100_000]
-            nulls = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+            nulls = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(some), pa.array(n[at : at + 100_000], pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +106,14 @@ def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     seen.add(digests[-1])
                     held.append(members)
                     total += len(members)
-            yield of_documents(batch.column(0), sizes, digests)
+            yield of_documents(batch.column(0), batch.column(2), sizes, digests)
             if total > MEMBERS_HELD:
                 yield from of_members(held)
                 held, total = [], 0
                 seen.clear()
         yield from of_members(held)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, node long, member long, n int")
+    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, node long, member long, n int")
 
 
 def frequent_members(counts: DataFrame, *, least: int = 12, most_kept: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +145,26 @@ def ordered(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np
 # --- candidates
 
 
-def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], *, extra: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(member, node, size): the first members of every set. Copies within a batch are left out."""
+def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], *, extra: int, text_col: str = "text", most_seen: int = 1_000_000) -> DataFrame:
+    """(member, node, size): the first members of every set. Copies within a task are left out, so that a group of copies
+    sends no more rows than there are tasks (a task that met `most_seen` sets starts anew)."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (common, counts) = Words(), shared.value
+        seen: set[bytes] = set()
         for batch in batches:
-            members, nodes, sizes, seen = [], [], [], set()
+            members, nodes, sizes = [], [], []
+            if len(seen) > most_seen:
+                seen.clear()
             for text in raw(batch.column(0)):
                 own = shingle_set(words.hashes(text), SIZE)
-                node = node_of(set_digest(own))
+                digest = set_digest(own)
                 n = len(own)
-                if n and node not in seen:
-                    seen.add(node)
+                if n and digest not in seen:
+                    seen.add(digest)
+                    node = node_of(digest)
                     first = ordered(own, common, counts)[: min(n, n - least_of(n) + 1 + extra)]
                     members.append(first.view(np.int64))
                     nodes.append(np.full(len(first), node, np.int64))
@@ -410,7 +422,7 @@ def link_sets(sets: list[np.ndarray], *, block: int = 32, stats: dict | None = N
 def _link_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root) of sets that come family by family and task by task."""
     key, nodes, sets = None, [], []
-    out: list[tuple[int, int]] = []
+    out: list[tuple[bytes, bytes]] = []
 
     def close() -> None:
         if len(nodes) > 1:
@@ -418,7 +430,7 @@ def _link_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [[]] * 2
-        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "root"])
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["node", "root"])
         out.clear()
         return batch
 
@@ -436,90 +448,131 @@ def _link_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _link(sets: DataFrame) -> DataFrame:
-    """(node, root) within each (family, task) of (family, task, node, members)."""
-    dealt = sets.select("family", "task", "node", "members").repartition("family", "task").sortWithinPartitions("family", "task", "node")
-    return cut(dealt.mapInArrow(_link_families, "node long, root long"), "links")
+    """(node, root) within each (family, task) of (family, task, digest, members); nodes are digests from here on."""
+    dealt = sets.select("family", "task", "digest", "members").repartition("family", "task").sortWithinPartitions("family", "task", "digest")
+    return cut(dealt.mapInArrow(_link_families, "node binary, root binary"), "links")
 
 
-def _link_big(sets: DataFrame, block: int, hubs: int = 1000) -> DataFrame:
-    """(node, root) of families too large for one task: (node, family, of, members).
+def _refined(sets: DataFrame, *, short: int, extra: int) -> DataFrame:
+    """(node, family): families of (digest, node, members), from candidates by exact frequencies of all members.
+
+    Members of one set alone come first in order and make no candidates, so only the others go on. Their frequencies come
+    back by a join; those of the at most 100,000 members with as large a part of all rows are broadcast.
+    """
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, nodes = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()], batch.column(0).to_numpy()
+            sizes = np.array([len(m) for m in own], np.int32)
+            for at in range(0, len(own), 64):
+                n = sizes[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own[at : at + 64])), pa.array(np.repeat(nodes[at : at + 64], n)), pa.array(np.repeat(n, n))], names=["member", "node", "size"])
+
+    rows = cut(sets.select("node", "members").mapInArrow(exploded, "member long, node long, size int"), "members")
+    counts = cut(rows.groupBy("member").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    large = (counts.agg(F.sum("n")).first()[0] or 0) / 100_000
+    hot = counts.where(F.col("n") >= max(large, 2))
+    # hot members leave the shuffle: rows without a hot partner find theirs by the join
+    marked = rows.join(F.broadcast(hot.withColumnRenamed("n", "hot_n")), "member", "left")
+    cold = marked.where("hot_n IS NULL").drop("hot_n").join(counts.where(F.col("n") < max(large, 2)).hint("merge"), "member")
+    known = cold.select("member", "node", "size", "n").unionByName(marked.where("hot_n IS NOT NULL").select("member", "node", "size", F.col("hot_n").alias("n")))
+    of_node = Window.partitionBy("node")
+    placed = known.select("*", F.row_number().over(of_node.orderBy("n", "member")).alias("at"), F.count("*").over(of_node).alias("shared"))
+    alone = F.col("size") - F.col("shared")
+    first = placed.where(F.col("at") + alone <= F.col("size") - F.ceil(F.col("size") * LEAST / OF) + 1 + extra)
+    return families(candidate_ties(first.select("member", "node", "size"), short=short, extra=extra))
+
+
+def _link_big(sets: DataFrame, block: int, most_members: int, hubs: int = 1000) -> DataFrame:
+    """(node, root) of families too large for one task: (digest, family, of, weight, members).
 
     First the sets of every block meet about `hubs` sets of their family, the same in all blocks. That ties most of a
     group of copies together. What is not with the family's largest component then meets every block, in chunks. Two sets
     of the largest component need not be compared any more, so no link is lost, and work grows with the number of blocks
     times the chunks that are left.
     """
-    hubs = max(1, min(hubs, block))
-    parts = F.ceil(F.col("of") / block).cast("int")
-    mine = sets.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int"))
-    hub = F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("of") / hubs)) == 0
-    every = F.sequence(F.lit(0), parts - 1)
-    first = _link(mine.select("family", F.explode(F.when(hub, every).otherwise(F.array("own"))).alias("task"), "node", "members"))
+    sets = sets.withColumn("parts", F.greatest(F.ceil(F.col("of") / block), F.ceil(F.col("weight") / most_members)).cast("int"))
+    mine = sets.withColumn("own", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("parts")).cast("int"))
+    hub = F.pmod(F.xxhash64("digest", F.lit(2)), F.greatest(F.ceil(F.col("of") / max(1, min(hubs, block))), F.col("parts"))) == 0
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    first = _link(mine.select("family", F.explode(F.when(hub, every).otherwise(F.array("own"))).alias("task"), "digest", "members"))
     ties = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = cut(families(ties).withColumnRenamed("family", "root"), "roots")
 
-    of = sets.select("node", "family").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = sets.select(F.col("digest").alias("node"), "family", "parts", "of").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = of.groupBy("family", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    left = of.join(largest, "family").where("root <> largest").select("node", "family")
-    chunks = left.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    left = of.join(largest, "family").where("root <> largest").select(F.col("node").alias("digest"), "family", "parts", "of")
+    chunks = left.groupBy("family").agg(F.ceil(F.count("*") * F.max("parts") / F.max("of")).cast("int").alias("chunks"))
     if chunks.isEmpty():
         return found
-    again = mine.join(chunks, "family").join(left.select("node", F.lit(True).alias("left")), "node", "left")
+    again = mine.join(chunks, "family").join(left.select("digest", F.lit(True).alias("left")), "digest", "left")
     # a task is a chunk and a block; sets that are left also go to all blocks of their chunk
-    chunk = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
-    of_block = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c * parts + F.col("own"))
-    of_chunk = F.transform(every, lambda b: chunk * parts + b)
+    chunk = F.pmod(F.xxhash64("digest", F.lit(3)), F.col("chunks")).cast("int")
+    of_block = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c * F.col("parts") + F.col("own"))
+    of_chunk = F.transform(every, lambda b: chunk * F.col("parts") + b)
     tasks = F.when(F.col("left"), F.array_distinct(F.concat(of_block, of_chunk))).otherwise(of_block)
-    second = _link(again.select("family", F.explode(tasks).alias("task"), "node", "members"))
+    second = _link(again.select("family", F.explode(tasks).alias("task"), "digest", "members"))
     both = ties.unionByName(second.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return families(both).withColumnRenamed("family", "root")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", short: int = 24, extra: int = 3, block: int = 10_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) for each row of docs."""
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", short: int = 24, extra: int = 3, block: int = 10_000, most_members: int = 20_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id, key, root) for each row of docs; root names the component (null without words)."""
     bounded_batches(docs.sparkSession)
     made = cut(shingle_sets(docs, id_col=id_col, text_col=text_col), "sets")
-    sets = made.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest", "node")
+    sets = made.where("digest IS NOT NULL").select("doc_id", "key", "n_shingles", "digest", "node")
     frequent = frequent_members(made.where("digest IS NULL").select("member", "n"))
     ties = candidate_ties(prefixes(docs, frequent, extra=extra, text_col=text_col), short=short, extra=extra)
     family = families(ties)
-    nodes = sets.where("n_shingles > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("first"))
+    nodes = sets.where("n_shingles > 0").groupBy("digest", "node", "n_shingles").agg(F.min("doc_id").alias("first"))
 
     # the sets of a family, made again from one row of each node
-    n_of = family.groupBy("family").agg(F.count("*").alias("of"))
-    wanted = nodes.join(family, "node").join(n_of, "family").select("node", "first", "family", "of")
+    def sized(of: DataFrame) -> DataFrame:
+        return of.groupBy("family").agg(F.count("*").alias("of"), F.sum("n_shingles").alias("weight"))
+
+    placed = nodes.join(family, "node")
+    wanted = placed.join(sized(placed), "family").select("digest", "first", "family", "of", "weight")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "node", "family", "of")
+    rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "digest", "family", "of", "weight")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             own = [shingle_set(words.hashes(t), SIZE) for t in raw(batch.column(0))]
-            right = pa.array([node_of(set_digest(s)) == x for s, x in zip(own, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            right = pa.array([set_digest(s) == x for s, x in zip(own, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             made = pa.array([s.tobytes() for s in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), made], names=["node", "family", "of", "members"]).filter(right)
-
-    shipped = rows.mapInArrow(members, "node long, family long, of long, members binary")
-    roots = _link(shipped.where(F.col("of") <= block).withColumn("task", F.lit(0))).select("node", "root")
-    big = family.join(n_of.where(F.col("of") > block), "family").select("node", "family", "of")
-    if not big.isEmpty():
-        roots = roots.unionByName(_link_big(cut(shipped.where(F.col("of") > block), "big"), block))
-    known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], names=["digest", "family", "of", "weight", "members"]).filter(right)
+
+    shipped = rows.mapInArrow(members, "digest binary, family long, of long, weight long, members binary")
+    fits = (F.col("of") <= block) & (F.col("weight") <= most_members)
+    roots = _link(shipped.where(fits).withColumn("task", F.lit(0)))
+    if not wanted.where(~fits).isEmpty():
+        big = cut(shipped.where(~fits).dropDuplicates(["digest"]).select("digest", "members", (F.octet_length("members") / 8).cast("long").alias("n_shingles")).join(nodes.select("digest", "node"), "digest"), "big")
+        again = cut(big.join(_refined(big, short=short, extra=extra), "node"), "refined")
+        again = again.join(sized(again), "family")
+        roots = roots.unionByName(_link(again.where(fits).withColumn("task", F.lit(0))))
+        if not again.where(~fits).isEmpty():
+            roots = roots.unionByName(_link_big(again.where(~fits), block, most_members))
+    known = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    answer = known.join(least, "root").select("digest", F.col("node").alias("of_node"), "component_id")
-    out = sets.join(answer, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    out = sets.join(known.join(least, "root").select("digest", "root", "component_id"), "digest", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "root")
 
 
 def keep_one(docs: DataFrame, components: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is that of their component: one document of each group, and all rows without an id.
+    """One row of docs for each component, that of least id, and all rows without an id; all columns stay as they are.
 
-    Of rows that share an id, that of the least text digest stays.
+    Rows without words are linked with nothing: one of each id and text stays. Of rows of equal id and text one stays; rows
+    of equal id but other texts stay or go with their own component, the least digest of text leading within one. An
+    empty table gives none.
     """
-    columns = docs.columns
-    kept = components.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    rows = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept"))
-    first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64(text_col)))
-    again = rows.where("_rows > 1").withColumn("_nth", first).where("_nth = 1").select(*columns)
-    return rows.where("_rows = 1").select(*columns).unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
+    known = components.where("doc_id IS NOT NULL")
+    lead = known.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("lead")).select("lead.*")
+    chosen = lead.unionByName(known.where("root IS NULL").select("doc_id", "key").distinct())
+    counted = known.join(chosen, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.count("*").alias("copies"))
+    all_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text_col).alias("key"))
+    rows = all_rows.where("doc_id IS NOT NULL").join(counted, ["doc_id", "key"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0)))
+    again = rows.where("copies > 1").withColumn("nth", nth).where("nth = 1").select("row")
+    return rows.where("copies = 1").select("row").unionByName(again).unionByName(all_rows.where("doc_id IS NULL").select("row")).select("row.*")

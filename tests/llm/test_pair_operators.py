@@ -73,6 +73,18 @@ def test_jaccard_edge_cases(spark):
     assert sorted(map(str, ids)) == sorted([*{str(r.doc_id) for r in got if r.doc_id is not None and r.doc_id == r.component_id}, "None", "None"])
 
 
+def test_one_of_each_component_stays_whatever_ids_repeat(spark):
+    a, b, c = ("the quick brown fox jumps over the lazy dog number one", "wholly other words that nothing else in this table holds", "a third text of its own that has no copy at all here")
+    rows = [(1, a), (1, b), (2, a + " "), (3, b), (4, c), (4, c), (5, ""), (5, ""), (5, None), (6, ""), (None, a), (None, a)]
+    names = ["_kept", "_rows", "_nth", "row", "key", "root", "doc_id2", "digest", "copies"]
+    docs = spark.createDataFrame([(i, t, *["v"] * len(names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = jaccard.keep_one(docs, jaccard.jaccard_components(docs))
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert all({r[n] for n in names} == {"v"} for r in got)
+    assert sorted([(str(r.doc_id), (r.text or "").strip()) for r in got]) == sorted([("1", a), ("1", b), ("4", c), ("5", ""), ("6", ""), ("None", a), ("None", a)])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=12), min_size=1, max_size=14))
 def test_link_sets_is_exact(sets):
