@@ -127,31 +127,48 @@ def enough_days(rows: DataFrame, grid: Grid) -> DataFrame:
     return rows.where(F.col("days_observed") >= grid.min_days)
 
 
+def sample_limits(rows: DataFrame, grid: Grid, *, strata: int = 1, keys: Sequence[str] = ("serial_number", "window")) -> dict[int, str]:
+    """The greatest digest that stays in each stratum; strata that keep all their negatives have none.
+
+    One pass over the keys, splits and labels of rows (of an aggregate, Catalyst prunes all else), held while digests are
+    counted by prefix and the digests of the one prefix where a stratum's limit falls are ranked. A row for each stratum
+    comes to the driver.
+    """
+    stratum = F.pmod(F.xxhash64(keys[0]), F.lit(strata)).cast("int")
+    slim = rows.where("split = 'train'").select(stratum.alias("stratum"), order_digest(grid.seed, *keys).alias("digest"), "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        prefix = F.substring("digest", 1, 4).alias("prefix")  # 65,536 rows a stratum at most
+        counts = slim.groupBy("stratum", prefix).agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("positives"))
+        of, by = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy("prefix")
+        marks = counts.select("stratum", "prefix", "n", F.bround(F.sum("positives").over(of) * grid.neg_ratio).cast("long").alias("want"), F.sum("positives").over(of).alias("all"), (F.sum("n").over(by) - F.col("n")).alias("before"))
+        edges = marks.where("all > 0 AND (before < want AND before + n >= want OR want = 0)").groupBy("stratum").agg(F.min("prefix").alias("prefix"), F.first(F.col("want") - F.col("before")).alias("left"), F.max("want").alias("want")).collect()
+        limits = {r.stratum: "" for r in edges if r.want == 0}
+        open_ = [(r.stratum, r.prefix, r.left) for r in edges if r.want]
+        if open_:
+            edge = F.broadcast(rows.sparkSession.createDataFrame(open_, "stratum int, edge string, left long"))
+            near = slim.where("label = 0").select("stratum", "digest", prefix).join(edge, "stratum").where("prefix = edge")
+            rank = F.row_number().over(Window.partitionBy("stratum").orderBy("digest"))
+            limits |= {r.stratum: r.digest for r in near.withColumn("rank", rank).where("rank = left").select("stratum", "digest").collect()}
+    finally:
+        slim.unpersist()
+    return limits
+
+
 def sample_negatives(rows: DataFrame, grid: Grid, *, strata: int = 1, keys: Sequence[str] = ("serial_number", "window")) -> DataFrame:
     """Training negatives down to round(positives * neg_ratio) in each stratum, least digests first; no positives: all stay.
 
-    The cut is a digest, found by counting digests by prefix and then within the one prefix where the limit falls, so no
-    task sorts all negatives.
+    The limits are found beforehand, from few columns, so rows are filtered as they are made and no task sorts all negatives.
     """
     if grid.neg_ratio <= 0:
         return rows
-    rows = rows.withColumn("_stratum", F.pmod(F.xxhash64(keys[0]), F.lit(strata)).cast("int")).withColumn("_digest", order_digest(grid.seed, *keys))
-    train = F.col("split") == "train"
-    negative = train & (F.col("label") == 0)
-    want = rows.where(train & (F.col("label") == 1)).groupBy("_stratum").agg(F.bround(F.count("*") * grid.neg_ratio).cast("long").alias("_want"))
-    prefixes = rows.where(negative).groupBy("_stratum", F.substring("_digest", 1, 4).alias("_prefix")).agg(F.count("*").alias("_n"))  # 65,536 rows a stratum at most
-    before = Window.partitionBy("_stratum").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    marks = prefixes.join(F.broadcast(want), "_stratum").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    edge = marks.where((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want"))).select(F.col("_stratum").alias("_of"), F.col("_prefix").alias("_edge"), (F.col("_want") - F.col("_before")).alias("_left"))
-    none = want.where("_want = 0").select(F.col("_stratum").alias("_of"), F.lit("").alias("_edge"), F.lit(0).cast("long").alias("_left"))
-    edge = edge.unionByName(none)
-    near = rows.where(negative).select("_stratum", "_digest", F.substring("_digest", 1, 4).alias("_prefix"))
-    ranked = near.join(F.broadcast(edge), (F.col("_prefix") == F.col("_edge")) & (F.col("_stratum") == F.col("_of"))).select("_stratum", "_digest", "_left")
-    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_digest"))
-    cut = ranked.withColumn("_rank", rank).where("_rank = _left").select("_stratum", F.col("_digest").alias("_cut"))
-    limits = edge.withColumnRenamed("_of", "_stratum").join(cut, "_stratum", "left").select("_stratum", F.coalesce("_cut", "_edge").alias("_cut"))
-    out = rows.join(F.broadcast(limits), "_stratum", "left")
-    return out.where(~negative | F.col("_cut").isNull() | (F.col("_digest") <= F.col("_cut"))).drop("_stratum", "_digest", "_cut")
+    limits = sample_limits(rows, grid, strata=strata, keys=keys)
+    if not limits:
+        return rows
+    # a digest is below "z"
+    cuts = F.split(F.lit(",".join(limits.get(i, "z") for i in range(strata))), ",")
+    cut = F.get(cuts, F.pmod(F.xxhash64(keys[0]), F.lit(strata)).cast("int")) if strata > 1 else F.lit(limits[0])
+    negative = (F.col("split") == "train") & (F.col("label") == 0)
+    return rows.where(~negative | (order_digest(grid.seed, *keys) <= cut))
 
 
 def strict_grouping(rows: DataFrame) -> DataFrame:
@@ -161,11 +178,10 @@ def strict_grouping(rows: DataFrame) -> DataFrame:
 
 
 def modeling_table(daily: DataFrame, grid: Grid, *, drop_boundary_drives: bool = False, strict: bool = False, strata: int = 1, co_partition: bool | None = None, models: Sequence[str] | None = None) -> DataFrame:
-    """All steps in one plan: aggregate, label, count exposure, drop short windows, split, sample."""
+    """Aggregate, label, count exposure, drop short windows, split, sample: a pass over the few columns that say which rows
+    are sampled, then one plan for all of it, which keeps nothing in memory."""
     labelled = enough_days(label_windows(aggregate_windows(daily, grid, co_partition=co_partition, models=models)), grid)
-    # sampling looks at the rows several times; windows are far fewer than snapshots
-    rows = split_windows(labelled, grid, strict=strict).persist(StorageLevel.MEMORY_AND_DISK)
-    out = sample_negatives(rows, grid, strata=strata)
+    out = sample_negatives(split_windows(labelled, grid, strict=strict), grid, strata=strata)
     return strict_grouping(out) if drop_boundary_drives else out
 
 
