@@ -1,8 +1,9 @@
 """Operator 4, license scans, by DataFrame functions alone.
 
-Lines of a text, and texts as a whole, are compared with license templates by the cosine of their sparse TF-IDF vectors.
-A line that reaches `threshold` is a header and licenses its document; a text that does so as a whole is a license file
-and licenses its directory. A document without a header takes the license of its nearest ancestor directory that has
+Parts of a text (lines, sentences, two neighbouring lines) are compared with templates of headers, and texts as a whole
+with these and with the texts of whole licenses, by the cosine of their sparse TF-IDF vectors (a term weighs as one more than the logarithm of its count). A part that reaches
+`threshold` is a header and licenses its document; a text that does so as a whole is a license file and licenses its
+directory. Where a document has both, the license of the whole file is its own. A document without a header takes the license of its nearest ancestor directory that has
 one, by joins of paths.
 
 Document frequencies of the templates' terms are counted over all documents; terms outside the templates weigh as much
@@ -18,14 +19,24 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinward.llm.common import cut
 
-#: (license, text) of headers and of the first lines of license files.
+#: A tag line counts as this one word and its identifier, so that a line with another identifier reaches half at most.
+TAG = "spdxlicenseidentifier"
+#: Identifiers of licenses as they stand behind the tag.
+TAGGED = {
+    "Apache-2.0": ("Apache-2.0",), "MIT": ("MIT",), "ISC": ("ISC",), "BSD-2-Clause": ("BSD-2-Clause",), "BSD-3-Clause": ("BSD-3-Clause",), "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "LGPL-2.1": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"), "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"), "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"), "MPL-2.0": ("MPL-2.0",), "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",), "CC0-1.0": ("CC0-1.0",),
+}
+
+#: (license, text) of headers, of the first lines of license files and of identifier tags.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
@@ -44,21 +55,47 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Released into the public domain under CC0 1.0"),
     ("Proprietary", "All rights reserved"),
+    *((name, f"{TAG} {tag}") for name, tags in TAGGED.items() for tag in tags),
 )
 
-#: (license, text) of whole license files, for whole texts only; their terms' weights are apart from those above.
-FILE_TEMPLATES = (
+#: (license, text) of whole license files of one page.
+SHORT_FILES = (
     ("MIT", """MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("BSD-3-Clause", """BSD 3-Clause License Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+)
+#: The same for longer licenses, from files named by license.
+LONG_FILES = tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+_TEXT = dict(SHORT_FILES + LONG_FILES)
+#: Texts that others differ from by a rule: BSD of two clauses has no third one, Affero GPL has another name.
+_DERIVED = (
+    ("BSD-2-Clause", re.sub(r" 3\. .*?(?= THIS SOFTWARE)", "", _TEXT["BSD-3-Clause"]).replace("3-Clause", "2-Clause")),
+    ("AGPL-3.0", re.sub(r"(?i)GNU\s+(General Public License)", r"GNU Affero \1", _TEXT["GPL-3.0"])),
 )
+#: For whole texts only; their terms' weights are apart from those above.
+FILE_TEMPLATES = (*SHORT_FILES, *_DERIVED, *LONG_FILES)
+
+
+def lowered(text: Column) -> Column:
+    """Lower-cased, with the words of a tag as one."""
+    return F.regexp_replace(F.lower(text), "spdx-license-identifier", TAG)
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(lowered(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def _words(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+    return re.findall("[a-z0-9]+", text.lower().replace("spdx-license-identifier", TAG))
+
+
+def units_of(text: Column) -> Column:
+    """Lines, sentences within them, and every two neighbouring lines joined, each once."""
+    lines = F.split(text, "\n")
+    sentences = F.split(F.regexp_replace(text, "([.;]) +", "$1\n"), "\n")
+    two = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.concat(lines, sentences, F.filter(two, lambda x: x.isNotNull())))
 
 
 @dataclass(frozen=True)
@@ -71,7 +108,7 @@ class LicenseModel:
 
     def vector(self, text: str) -> dict[str, float]:
         words = _words(text)
-        raw = {w: words.count(w) * self.idf[w] for w in set(words)}
+        raw = {w: (1 + math.log(n)) * self.idf[w] for w, n in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {w: x / norm for w, x in raw.items()}
 
@@ -93,7 +130,7 @@ def fit_licenses(docs: DataFrame, *, text_col: str = "text", templates: tuple[tu
     """Document frequencies of the templates' terms, over all of docs; a row for each term comes to the driver."""
     own, of_files = ({w for _, t in ts for w in _words(t)} for ts in (templates, file_templates))
     vocabulary = sorted(own | of_files)
-    terms = F.array_intersect(F.split(F.lower(F.col(f"`{text_col}`")), "[^a-z0-9]+"), F.split(F.lit(" ".join(vocabulary)), " "))
+    terms = F.array_intersect(F.split(lowered(F.col(f"`{text_col}`")), "[^a-z0-9]+"), F.split(F.lit(" ".join(vocabulary)), " "))
     found = docs.select(F.explode(terms).alias("term")).groupBy("term").count().collect()
     n, df = docs.count(), {r.term: r["count"] for r in found}
     weight = lambda k: math.log((n + 1) / (k + 1)) + 1
@@ -102,21 +139,21 @@ def fit_licenses(docs: DataFrame, *, text_col: str = "text", templates: tuple[tu
 
 
 def license_matches(docs: DataFrame, model: LicenseModel, *, text_col: str = "text", by_line: bool = True) -> DataFrame:
-    """(key, unit, license, score): the best template of each line (unit from 0) and whole text (unit -1) that reach the threshold.
+    """(key, unit, license, score): the best template of each part (unit from 0) and whole text (unit -1) that reach the threshold.
 
-    Without `by_line`, whole texts only. key is a hash of the text: rows of equal text are looked at once.
+    Without `by_line`, whole texts only. key is a digest of the text: rows of equal text are looked at once.
     """
     spark = docs.sparkSession
     anchor = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, model.anchors()))})(?![a-z0-9])"
     text = F.col(f"`{text_col}`")
-    some = docs.where(F.lower(text).rlike(anchor)).select(F.xxhash64(text).alias("key"), text.alias("text")).dropDuplicates(["key"])
-    lines = some.select("key", F.posexplode(F.split("text", "\n")).alias("unit", "unit_text")).where(F.lower("unit_text").rlike(anchor))
+    some = docs.where(lowered(text).rlike(anchor)).select(F.md5(text.cast("binary")).alias("key"), text.alias("text")).dropDuplicates(["key"])
+    lines = some.select("key", F.posexplode(units_of(F.col("text"))).alias("unit", "unit_text")).where(lowered(F.col("unit_text")).rlike(anchor))
     whole = some.select("key", F.lit(-1).alias("unit"), F.col("text").alias("unit_text"))
     units = lines.unionByName(whole) if by_line else whole
     counts = units.select("key", "unit", F.explode(words_of(F.col("unit_text"))).alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("tf"))
     idf = spark.createDataFrame(list(model.idf.items()), "term string, idf double")  # as many rows as the templates have terms
     weights = spark.createDataFrame([(i, lic, w, x) for i, (lic, t) in enumerate(model.templates) for w, x in model.vector(t).items()], "template int, license string, term string, weight double")
-    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(model.unseen)))
+    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("x", (1 + F.log("tf")) * F.coalesce("idf", F.lit(model.unseen)))
     norms = weighed.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.where("idf IS NOT NULL").join(F.broadcast(weights), "term").groupBy("key", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, ["key", "unit"]).select("key", "unit", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= model.threshold)
@@ -139,7 +176,7 @@ def license_scan(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id"
     headers = matches.where("unit >= 0").groupBy("key").agg(F.min_by("license", best).alias("header"), F.max("score").alias("header_score"))
     files = matches.where("unit = -1").groupBy("key").agg(F.min_by("license", best).alias("file"), F.max("score").alias("file_score"))
     by_text = headers.join(files, "key", "full")
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{path_col}`").alias("path"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{path_col}`").alias("path"), F.md5(F.col(f"`{text_col}`").cast("binary")).alias("key"))
     rows = rows.join(by_text, "key", "left").withColumn("dir", parent(F.col("path")))
 
     licensed = rows.where("file IS NOT NULL AND dir IS NOT NULL").groupBy("dir").agg(F.min_by("file", F.struct(-F.col("file_score"), F.col("file"), F.col("path"))).alias("of_dir"))
@@ -152,12 +189,12 @@ def license_scan(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id"
     spread = nearest.select("own", "inherited", "origin", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(id_col, "key"), F.lit(salts)).cast("int"))
     out = rows.join(spread, (rows["dir"] == spread["own"]) & (rows["salt"] == spread["salt"]), "left")
-    own = F.coalesce("header", "file")
+    own = F.coalesce("file", "header")
     return out.select(
         id_col,
         "path",
         F.coalesce(own, F.col("inherited")).alias("license"),
-        F.coalesce("header_score", "file_score").alias("score"),
-        F.when(F.col("header").isNotNull(), "header").when(F.col("file").isNotNull(), "file").when(F.col("inherited").isNotNull(), "inherited").alias("how"),
+        F.coalesce("file_score", "header_score").alias("score"),
+        F.when(F.col("file").isNotNull(), "file").when(F.col("header").isNotNull(), "header").when(F.col("inherited").isNotNull(), "inherited").alias("how"),
         F.when(own.isNull(), F.col("origin")).alias("origin"),
     )

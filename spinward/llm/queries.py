@@ -77,30 +77,38 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_fingerprints, op4_license_scan, op5_decontaminate, op6_url_filter, op7_quality, op8_warc, op9_jaccard_join, op10_byte_bpe)}
 
-_TEMPLATES = ", ".join(f"({i}, '{lic}', '{text}')" for i, (lic, text) in enumerate(licenses.TEMPLATES))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(f"({i}, {kind}, {_quoted(lic)}, {_quoted(text)})" for kind, templates in enumerate((licenses.TEMPLATES, licenses.FILE_TEMPLATES)) for i, (lic, text) in enumerate(templates))
+_TERMS = f"regexp_extract_all(replace(lower({{}}), 'spdx-license-identifier', '{licenses.TAG}'), '[a-z0-9]+')"
 
 ORACLE: dict[str, str] = {
     "op4_license_scan": f"""
-        WITH tpl(i, license, text) AS (VALUES {_TEMPLATES}),
-        tw AS (SELECT i, license, w, count(*) AS tf FROM (SELECT i, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM tpl) GROUP BY ALL),
+        WITH tpl(i, kind, license, text) AS (VALUES {_TEMPLATES}), -- kind 1: for whole texts only
+        tw AS (SELECT i, kind, license, w, count(*) AS tf FROM (SELECT i, kind, license, unnest({_TERMS.format("text")}) AS w FROM tpl) GROUP BY ALL),
         total AS (SELECT count(*) AS n FROM documents),
-        df AS (SELECT w, count(*) AS k FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM documents) WHERE w IN (SELECT w FROM tw) GROUP BY w),
-        idf AS (SELECT w, ln((n + 1) / (coalesce(k, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w), total),
-        tn AS (SELECT i, sqrt(sum(pow(tf * idf, 2))) AS norm FROM tw JOIN idf USING (w) GROUP BY i),
-        tv AS (SELECT i, license, w, tf * idf / norm AS weight FROM tw JOIN idf USING (w) JOIN tn USING (i)),
-        units AS (SELECT doc_id, -1 AS unit, text AS u FROM documents UNION ALL SELECT doc_id, unnest(range(len(string_split(text, chr(10))))), unnest(string_split(text, chr(10))) FROM documents),
-        uw AS (SELECT doc_id, unit, w, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(u), '[a-z0-9]+')) AS w FROM units) GROUP BY ALL),
-        un AS (SELECT doc_id, unit, sqrt(sum(pow(tf * coalesce(idf, ln(n + 1.0) + 1), 2))) AS norm FROM uw LEFT JOIN idf USING (w), total GROUP BY doc_id, unit),
-        dots AS (SELECT doc_id, unit, i, license, sum(tf * idf * weight) AS dot FROM uw JOIN idf USING (w) JOIN tv USING (w) GROUP BY ALL),
-        sc AS (SELECT doc_id, unit, license, round(dot / norm, 9) AS score FROM dots JOIN un USING (doc_id, unit) WHERE round(dot / norm, 9) >= 0.6),
+        df AS (SELECT w, count(*) AS k FROM (SELECT unnest(list_distinct({_TERMS.format("text")})) AS w FROM documents) WHERE w IN (SELECT w FROM tw) GROUP BY w),
+        idf AS (SELECT kind, w, ln((n + 1) / (coalesce(k, 0) + 1.0)) + 1 AS idf FROM (SELECT DISTINCT kind, w FROM tw) LEFT JOIN df USING (w), total),
+        tn AS (SELECT i, kind, sqrt(sum(pow((1 + ln(tf)) * idf, 2))) AS norm FROM tw JOIN idf USING (kind, w) GROUP BY i, kind),
+        tv AS (SELECT i, kind, license, w, (1 + ln(tf)) * idf / norm AS weight FROM tw JOIN idf USING (kind, w) JOIN tn USING (i, kind)),
+        lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, string_split(regexp_replace(text, '([.;]) +', '\\1' || chr(10), 'g'), chr(10)) AS s FROM documents),
+        parts AS (SELECT doc_id, unnest(l || s || list_transform(range(1, len(l)), lambda j: l[j] || ' ' || l[j + 1])) AS u FROM lines),
+        units AS (SELECT doc_id, -1 AS unit, text AS u FROM documents UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id), u FROM parts),
+        uw AS (SELECT doc_id, unit, w, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, unit, unnest({_TERMS.format("u")}) AS w FROM units) GROUP BY ALL),
+        uk AS (SELECT doc_id, unit, w, tf, kind FROM uw, (VALUES (0), (1)) k(kind) WHERE kind = 0 OR unit = -1),
+        un AS (SELECT doc_id, unit, kind, sqrt(sum(pow(tf * coalesce(idf, ln(n + 1.0) + 1), 2))) AS norm FROM uk LEFT JOIN idf USING (kind, w), total GROUP BY doc_id, unit, kind),
+        dots AS (SELECT doc_id, unit, kind, i, license, sum(tf * idf * weight) AS dot FROM uk JOIN idf USING (kind, w) JOIN tv USING (kind, w) GROUP BY ALL),
+        sc AS (SELECT doc_id, unit, license, round(dot / norm, 9) AS score FROM dots JOIN un USING (doc_id, unit, kind) WHERE round(dot / norm, 9) >= 0.6),
         best AS (SELECT doc_id, unit, arg_min(license, (-score, license)) AS license, max(score) AS score FROM sc GROUP BY ALL),
         h AS (SELECT doc_id, arg_min(license, (-score, license)) AS header, max(score) AS header_score FROM best WHERE unit >= 0 GROUP BY doc_id),
         f AS (SELECT doc_id, license AS file, score AS file_score FROM best WHERE unit = -1),
         r AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, header, header_score, file, file_score
             FROM documents LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)),
         of_dir AS (SELECT dir, arg_min(file, (-file_score, file, path)) AS inherited FROM r WHERE file IS NOT NULL GROUP BY dir)
-        SELECT doc_id, path, coalesce(header, file, inherited) AS license, coalesce(header_score, file_score) AS score,
-            CASE WHEN header IS NOT NULL THEN 'header' WHEN file IS NOT NULL THEN 'file' WHEN inherited IS NOT NULL THEN 'inherited' END AS how,
+        SELECT doc_id, path, coalesce(file, header, inherited) AS license, coalesce(file_score, header_score) AS score,
+            CASE WHEN file IS NOT NULL THEN 'file' WHEN header IS NOT NULL THEN 'header' WHEN inherited IS NOT NULL THEN 'inherited' END AS how,
             CASE WHEN coalesce(header, file) IS NULL AND inherited IS NOT NULL THEN dir END AS origin
         FROM r LEFT JOIN of_dir USING (dir)""",
     "op9_jaccard_join": r"""
