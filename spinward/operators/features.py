@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinward.functions.columns import VENDORS, capacity_tb, known_capacity, order_digest, signed_log, vendor
+from spinward.operators.ranks import quantiles, unpivoted
 
 #: SMART attributes of the feature matrix: three statistics each. Fixed values.
 FEATURE_SMART_IDS = (1, 3, 5, 7, 10, 12, 192, 193, 194, 197, 198, 199)
@@ -44,8 +45,9 @@ class Preparation:
     deviation: dict[str, float] = field(default_factory=dict)
 
     def fit(self, rows: DataFrame) -> Preparation:
-        got = rows.agg(*[f for i, c in enumerate(self.columns) for f in (F.percentile(c, 0.5).alias(f"m{i}"), F.count_if(F.col(c).isNull()).alias(f"n{i}"))]).first()
-        self.medians = {c: float(got[f"m{i}"] or 0.0) for i, c in enumerate(self.columns)}
+        got = rows.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(self.columns)]).first()
+        known = {r.feature: r.q[0] for r in quantiles(unpivoted(rows, self.columns), [0.5]).collect()}  # a row for each column
+        self.medians = {c: float(known.get(c) or 0.0) for c in self.columns}
         self.with_nulls = [c for i, c in enumerate(self.columns) if got[f"n{i}"]]
         if self.scale:
             filled = rows.select(*[x.alias(n) for n, x in self._filled().items()])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinward.functions.columns import share
-from spinward.operators.ranks import running_totals
+from spinward.operators.ranks import quantiles, running_totals
 from spinward.operators.stats import auc_of
 
 
@@ -51,7 +52,8 @@ def brier(df: DataFrame, score: str, label: Column) -> DataFrame:
 def budget_table(df: DataFrame, score: str, label: Column, ties: Sequence[str], per_thousand: Sequence[float], rule: Column | None = None) -> DataFrame:
     """Precision and recall of the floor(rows * budget / 1000) rows of highest score, of a yes/no rule and of chance.
 
-    Scores are added up first; only rows that share the score where a budget ends are ordered, by `ties`.
+    Scores are added up first; only rows that share the score where a budget ends are ordered, by `ties`. Three jobs, however
+    many budgets there are.
     """
     spark = df.sparkSession
     rule = rule if rule is not None else F.lit(0)
@@ -59,16 +61,15 @@ def budget_table(df: DataFrame, score: str, label: Column, ties: Sequence[str],
     n, pos, rule_n, rule_tp = (int(x or 0) for x in totals)
     curve = running_totals(by_score(df, score, label), score, ["pos", "n"], descending=True)
     want = [(float(k), int(n * k / 1000)) for k in per_thousand]
-    out = None
-    for k, m in want:
-        full = curve.where(F.col("n_to") <= m).agg(F.coalesce(F.max("n_to"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("tp")).first()
-        left = m - full.n
-        tp = full.tp
-        if left > 0:
-            edge = curve.where(F.col("n_to") > m).agg(F.max(score).alias("s")).first().s
-            tp += df.where(F.col(score) == edge).orderBy(*ties).limit(left).agg(F.coalesce(F.sum(label.cast("long")), F.lit(0)).alias("x")).first().x
-        row = (k, m, tp / m if m else 0.0, tp / pos if pos else 0.0, rule_tp / rule_n if rule_n else 0.0, (rule_tp / pos if pos else 0.0) * min(m / rule_n, 1.0) if rule_n else 0.0, pos / n if n else 0.0, m / n if n else 0.0)
-        out = [*(out or []), row]
+    within = lambda m: F.col("n_to") <= m
+    found = curve.agg(*[f for i, (_, m) in enumerate(want) for f in (F.max(F.when(within(m), F.col("n_to"))).alias(f"n{i}"), F.sum(F.when(within(m), F.col("pos"))).alias(f"tp{i}"), F.max(F.when(~within(m), F.col(score))).alias(f"s{i}"))]).first()
+    open_ = {i: m - (found[f"n{i}"] or 0) for i, (_, m) in enumerate(want) if m > (found[f"n{i}"] or 0) and found[f"s{i}"] is not None}
+    edges = [df.where(F.col(score) == found[f"s{i}"]).orderBy(*ties).limit(left).agg(F.lit(i).alias("i"), F.sum(label.cast("long")).alias("x")) for i, left in open_.items()]
+    more = {r.i: r.x or 0 for r in functools.reduce(DataFrame.unionByName, edges).collect()} if edges else {}  # a row for each budget
+    out = []
+    for i, (k, m) in enumerate(want):
+        tp = (found[f"tp{i}"] or 0) + more.get(i, 0)
+        out.append((k, m, tp / m if m else 0.0, tp / pos if pos else 0.0, rule_tp / rule_n if rule_n else 0.0, (rule_tp / pos if pos else 0.0) * min(m / rule_n, 1.0) if rule_n else 0.0, pos / n if n else 0.0, m / n if n else 0.0))
     return spark.createDataFrame(out, "per_thousand double, budget long, precision double, recall double, rule_precision double, rule_recall double, chance_precision double, chance_recall double")
 
 
@@ -87,8 +88,8 @@ def calibration_ratio(df: DataFrame, score: str, label: Column) -> DataFrame:
 
 def reliability(df: DataFrame, score: str, label: Column, bins: int = 10) -> DataFrame:
     """Mean prediction and rate by quantile bins, closed on the right; equal edges are one."""
-    edges = df.agg(F.percentile(score, [i / bins for i in range(bins + 1)])).first()[0] or []
-    edges = sorted(set(edges))
+    got = quantiles(df.select(F.col(score).cast("double").alias("x")), [i / bins for i in range(bins + 1)], by=()).first()
+    edges = sorted(set(got.q)) if got and got.q[0] is not None else []
     if len(edges) < 2:
         edges = [edges[0] - 1, edges[0]] if edges else [0.0, 1.0]
     marks = F.array(*[F.lit(float(e)) for e in edges[1:-1]])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinward.functions.columns import has_marker
+from spinward.operators.ranks import quantiles, unpivoted
 
 
 def non_null_counts(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -64,10 +65,12 @@ def quarter_report(df: DataFrame, part: str, *, dropped: Column, failed: Column)
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, least, exact quartiles and greatest of each column, a row each."""
-    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "p25": lambda c: F.percentile(c, 0.25), "p50": lambda c: F.percentile(c, 0.5), "p75": lambda c: F.percentile(c, 0.75), "max": F.max}
-    wide = df.agg(*[f(F.col(c).cast("double")).cast("double").alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in stats.items()])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}_{i}").alias(k) for k in stats]) for i, c in enumerate(columns)])
-    return wide.select(F.explode(cells).alias("_c")).select("_c.*")
+    long = unpivoted(df, columns)
+    stats = long.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    both = stats.join(quantiles(long, [0.25, 0.5, 0.75]), "feature")
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = names.join(F.broadcast(both), F.col("column") == F.col("feature"), "left")  # a row for each column
+    return out.select("column", F.coalesce("n", F.lit(0)).cast("double").alias("count"), "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def feature_catalogue(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spinward.functions.columns import log1p_clip, order_digest
 from spinward.operators.distributions import chi2_p_value
-from spinward.operators.ranks import running_totals
+from spinward.operators.ranks import average_ranks, quantiles, running_totals, unpivoted
 from spinward.session import ship
 
 
@@ -49,14 +49,13 @@ def odds_ratios(df: DataFrame, columns: Sequence[str], label: Column, z: float =
 def auc_of(df: DataFrame, score: str, label: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by..., auc, positives, negatives): the rank-sum area, ties half; null without both labels.
 
-    Rows are added up by distinct score first. By group, ranks run within each group's scores.
+    Rows are added up by distinct score first. By group, ranks run within each group's scores; rows without one don't count.
     """
-    counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(label.cast("long")).alias("p"), F.sum(1 - label.cast("long")).alias("q"))
-    if by:
-        below = F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-        counts = counts.withColumn("q_to", below)
-    else:
-        counts = running_totals(counts, score, ["q"])
+    known = F.col(score).isNotNull()
+    for g in by:
+        known = known & F.col(g).isNotNull()
+    counts = df.where(known).groupBy(*by, score).agg(F.sum(label.cast("long")).alias("p"), F.sum(1 - label.cast("long")).alias("q"))
+    counts = running_totals(counts, score, ["q"], by=by)
     won = F.sum(F.col("p") * (F.col("q_to") - F.col("q") / 2.0))
     positives, negatives = F.sum("p"), F.sum("q")
     return counts.groupBy(*by).agg(F.try_divide(won, (positives * negatives).cast("double")).alias("auc"), positives.alias("positives"), negatives.alias("negatives"))
@@ -68,12 +67,10 @@ def oriented(auc: Column) -> Column:
 
 
 def oriented_aucs(df: DataFrame, features: Sequence[str], label: Column) -> DataFrame:
-    df, label = df.select(*dict.fromkeys(features), label.alias("_y")).persist(), F.col("_y")  # read for every feature
-    out = None
-    for c in features:
-        one = auc_of(df, c, label).select(F.lit(c).alias("feature"), oriented(F.col("auc")).alias("auc"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(feature, auc) of all features in one pass over the rows; 0.5 where one has no value."""
+    long = unpivoted(df, features, label.alias("_y"))
+    names = df.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(features)], "feature string")
+    return names.join(F.broadcast(auc_of(long, "x", F.col("_y"), ["feature"])), "feature", "left").select("feature", oriented(F.col("auc")).alias("auc"))  # a row for each feature
 
 
 def within_group_auc(df: DataFrame, score: str, label: Column, group: str, *, least_positives: int = 50, leave_out: str = "Other") -> DataFrame:
@@ -84,23 +81,17 @@ def within_group_auc(df: DataFrame, score: str, label: Column, group: str, *, le
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, rho, n) of each pair of columns, over the rows where both are known."""
-    df = df.select(*columns).persist()  # read for every pair
-    out = None
-    for a, b in combinations(columns, 2):
-        both = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("n"))
-        rx = average_ranks_weighted(both, "x").withColumnRenamed("rank", "rx")
-        ry = average_ranks_weighted(both, "y").withColumnRenamed("rank", "ry")
-        r = both.join(rx, "x").join(ry, "y").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * e).alias(k) for k, e in {"sx": F.col("rx"), "sy": F.col("ry"), "sxx": F.col("rx") ** 2, "syy": F.col("ry") ** 2, "sxy": F.col("rx") * F.col("ry")}.items()])
-        rho = F.try_divide(F.expr("n * sxy - sx * sy"), F.sqrt(F.expr("n * sxx - sx * sx")) * F.sqrt(F.expr("n * syy - sy * sy")))
-        one = r.select(F.lit(a).alias("a"), F.lit(b).alias("b"), rho.alias("rho"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def average_ranks_weighted(counted: DataFrame, value: str) -> DataFrame:
-    by_value = counted.groupBy(value).agg(F.sum("n").alias("n"))
-    return running_totals(by_value, value, ["n"]).select(value, (F.col("n_to") - (F.col("n") - 1) / 2.0).alias("rank"))
+    """(a, b, rho, n) of each pair of columns, over the rows where both are known; all pairs in the same few stages."""
+    double = {c: F.col(c).cast("double") for c in columns}
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), double[a].alias("x"), double[b].alias("y")) for a, b in combinations(columns, 2)])
+    pair = ["a", "b"]
+    both = df.select(F.explode(cells).alias("_c")).select("_c.*").where("x IS NOT NULL AND y IS NOT NULL").groupBy(*pair, "x", "y").agg(F.count("*").alias("n"))
+    rx, ry = (average_ranks(both, v, pair).select(*pair, v, F.col("rank").alias(f"r{v}")) for v in ("x", "y"))
+    sums = {"sx": F.col("rx"), "sy": F.col("ry"), "sxx": F.col("rx") ** 2, "syy": F.col("ry") ** 2, "sxy": F.col("rx") * F.col("ry")}
+    r = both.join(rx, [*pair, "x"]).join(ry, [*pair, "y"]).groupBy(*pair).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * e).alias(k) for k, e in sums.items()])
+    rho = F.try_divide(F.expr("n * sxy - sx * sy"), F.sqrt(F.expr("n * sxx - sx * sx")) * F.sqrt(F.expr("n * syy - sy * sy")))
+    names = df.sparkSession.createDataFrame(list(combinations(columns, 2)), "a string, b string")
+    return names.join(F.broadcast(r), pair, "left").select("a", "b", rho.alias("rho"), F.coalesce("n", F.lit(0)).alias("n"))  # a row for each pair
 
 
 def redundant_pairs(rho: DataFrame, least: float = 0.6, top: int = 12) -> DataFrame:
@@ -108,10 +99,10 @@ def redundant_pairs(rho: DataFrame, least: float = 0.6, top: int = 12) -> DataFr
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(h, dof, n), corrected for ties."""
+    """(h, dof, n), corrected for ties; kruskal_p has the p-value of the one row."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     cells = rows.groupBy(value, group).agg(F.count("*").alias("n"))
-    ranks = average_ranks_weighted(cells, value)
+    ranks = average_ranks(cells, value).drop("n")
     sums = cells.join(ranks, value).groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     total = sums.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), (F.count("*") - 1).alias("dof"))
     ties = cells.groupBy(value).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
@@ -119,27 +110,29 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     return total.crossJoin(ties).select(h.alias("h"), "dof", "n")  # one row each
 
 
+def kruskal_p(result: DataFrame) -> float:
+    r = result.first()
+    return chi2_p_value(result.sparkSession, r.h, r.dof)
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Population skewness and excess kurtosis, the largest |z| (sample deviation) and the share of zeros."""
-    out = None
-    for c in columns:
-        x = F.col(c)
-        one = df.agg(F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis"), F.greatest((F.max(x) - F.avg(x)) / F.stddev_samp(x), (F.avg(x) - F.min(x)) / F.stddev_samp(x)).alias("max_abs_z"), F.avg((x == 0).cast("double")).alias("zero_share"))
-        one = one.select(F.lit(c).alias("feature"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Population skewness and excess kurtosis, the largest |z| (sample deviation) and the share of zeros; one aggregate."""
+    stats = {
+        "skew": F.skewness, "kurtosis": F.kurtosis, "zero_share": lambda x: F.avg((x == 0).cast("double")),
+        "max_abs_z": lambda x: F.greatest((F.max(x) - F.avg(x)) / F.stddev_samp(x), (F.avg(x) - F.min(x)) / F.stddev_samp(x)),
+    }
+    wide = df.agg(*[f(F.col(c)).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in stats.items()])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{k}_{i}").alias(k) for k in ("skew", "kurtosis", "max_abs_z", "zero_share")]) for i, c in enumerate(columns)])
+    return wide.select(F.explode(cells).alias("_c")).select("_c.*")
 
 
 def transform_table(df: DataFrame, columns: Sequence[str], label: Column) -> DataFrame:
     """Skewness, kurtosis and oriented area of each column, as it is and by log(1 + x)."""
-    out = None
-    for c in columns:
-        for name, x in (("raw", F.col(c)), ("log1p", log1p_clip(F.col(c)))):
-            rows = df.select(x.cast("double").alias("x"), label.alias("y"))
-            m = moments(rows, ["x"]).select("skew", "kurtosis").crossJoin(oriented_aucs(rows, ["x"], F.col("y")).select("auc"))  # one row each
-            one = m.select(F.lit(c).alias("feature"), F.lit(name).alias("form"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out
+    forms = {f"{name} {c}": x.cast("double") for c in columns for name, x in (("raw", F.col(c)), ("log1p", log1p_clip(F.col(c))))}
+    rows = df.select(*[x.alias(n) for n, x in forms.items()], label.alias("_y"))
+    both = moments(rows, list(forms)).join(F.broadcast(oriented_aucs(rows, list(forms), F.col("_y"))), "feature")  # a row for each form
+    form, name = F.split("feature", " ", 2)[0], F.split("feature", " ", 2)[1]
+    return both.select(name.alias("feature"), form.alias("form"), "skew", "kurtosis", "auc")
 
 
 def signal_table(df: DataFrame, pairs: Sequence[tuple[str, str]], label: Column) -> DataFrame:
@@ -177,20 +170,30 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by:
 
 def ecdf(df: DataFrame, value: str, by: str) -> DataFrame:
     """(by, value, n, share_to): the share of a group's values above 0 that are this or less, a row for each value."""
-    counts = df.where(F.col(value) > 0).groupBy(by, value).agg(F.count("*").alias("n"))
+    counts = df.where((F.col(value) > 0) & F.col(by).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
     whole = counts.groupBy(by).agg(F.sum("n").alias("_all"))
-    up_to = F.sum("n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("_to", up_to).join(F.broadcast(whole), by).select(by, value, "n", (F.col("_to") / F.col("_all")).alias("share_to"))
+    return running_totals(counts, value, ["n"], by=[by]).join(whole, by).select(by, value, "n", (F.col("n_to") / F.col("_all")).alias("share_to"))
 
 
 def group_medians(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(by).agg(*[F.percentile(c, 0.5).alias(f"{c}_median") for c in columns])
+    """Exact medians of the columns in each group, null where a group has no value."""
+    found = quantiles(unpivoted(df, columns, F.col(by)).where(F.col(by).isNotNull()), [0.5], by=[by, "feature"])
+    wide = found.groupBy(by).agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(f"{c}_median") for c in columns])
+    return df.select(by).distinct().join(wide, by, "left")
 
 
 def stratified_sample(df: DataFrame, by: str, n: int, keys: Sequence[str], seed: int = 7) -> DataFrame:
-    """n rows of each stratum, those of least digest; the same in every run."""
+    """n rows of each stratum, those of least digest; the same in every run.
+
+    Digests are counted by prefix, and only rows up to the prefix where a stratum's limit falls are ranked: about n of them.
+    """
+    rows = df.withColumn("_digest", order_digest(seed, *keys)).withColumn("_prefix", F.substring("_digest", 1, 4))
+    counts = rows.groupBy(by, "_prefix").agg(F.count("*").alias("_n"))  # 65,536 rows a stratum at most
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_prefix")) - F.col("_n")
+    edge = counts.withColumn("_before", before).where(F.col("_before") < n).groupBy(by).agg(F.max("_prefix").alias("_edge"))
+    near = rows.join(edge.withColumnRenamed(by, "_by"), rows[by].eqNullSafe(F.col("_by"))).where("_prefix <= _edge").drop("_by", "_edge", "_prefix")
     rank = F.row_number().over(Window.partitionBy(by).orderBy("_digest", *keys))
-    return df.withColumn("_digest", order_digest(seed, *keys)).withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_digest", "_rank")
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_digest", "_rank")
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, *, per_class: int = 25_000, keys: Sequence[str], k: int = 5, seed: int = 1) -> DataFrame:
@@ -203,8 +206,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, *, pe
 
     ship(df.sparkSession)
     some = stratified_sample(df, label, per_class, keys, seed)
-    medians = some.agg(*[F.percentile(c, 0.5).alias(c) for c in features]).first()
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))).alias("x")) for c in features])
+    medians = {r.feature: r.q[0] for r in quantiles(unpivoted(some, features), [0.5]).collect()}  # a row for each feature
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("double"), F.lit(float(medians.get(c) or 0.0))).alias("x")) for c in features])
     long = some.select(F.col(label).cast("int").alias("y"), F.explode(cells).alias("_c")).select("_c.feature", "_c.x", "y")
 
     def digamma(x: np.ndarray) -> np.ndarray:

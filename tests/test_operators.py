@@ -75,7 +75,7 @@ def test_average_precision_and_auc_with_ties(spark):
 @pytest.mark.parametrize("descending", [True, False])
 def test_running_totals_over_several_ranges(spark, descending):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).cast("double").alias("k"), (F.col("id") % 13).alias("v"))
-    got = {r.k: r.v_to for r in K.running_totals(rows, "k", ["v"], descending=descending, keys_per_range=50).collect()}
+    got = {r.k: r.v_to for r in K.running_totals(rows, "k", ["v"], descending=descending).collect()}
     total, want = 0, {}
     for k, v in sorted(((r.k, r.v) for r in rows.collect()), reverse=descending):
         total += v
@@ -83,9 +83,34 @@ def test_running_totals_over_several_ranges(spark, descending):
     assert got == want
 
 
+def test_running_totals_by_group_and_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(x)) for g, n in (("a", 501), ("b", 40), ("c", 1)) for x in rng.integers(0, 60, n)] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    counts = df.where("x IS NOT NULL").groupBy("g", "x").count()
+    for r in K.running_totals(counts, "x", ["count"], by=["g"]).collect():
+        assert r.count_to == sum(g == r.g and x <= r.x for g, x in rows if x is not None)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r.q for r in K.quantiles(df, shares, by=["g"]).collect()}
+    assert set(got) == set("abc")
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile([x for h, x in rows if h == g and x is not None], shares))
+
+
+def test_stages_do_not_grow_with_the_number_of_features(spark):
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    df = spark.range(200).selectExpr("id % 2 AS y", *[f"CAST((id * {k}) % 17 AS DOUBLE) AS f{k}" for k in range(2, 12)])
+    of = lambda n: [f"f{k}" for k in range(2, 2 + n)]
+    for make in (lambda n: S.oriented_aucs(df, of(n), F.col("y")), lambda n: S.spearman(df, of(n)), lambda n: S.transform_table(df, of(n), F.col("y")), lambda n: S.moments(df, of(n))):
+        assert exchanges(make(3)) == exchanges(make(10))
+    assert sorted(r.auc for r in S.oriented_aucs(df, of(10), F.col("y")).collect())[0] >= 0.5
+
+
 def test_average_ranks(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,), (None,)], "x double")
-    assert {r.x: r.rank for r in K.average_ranks(rows, "x").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
+    assert {r.x: r.rank for r in K.average_ranks(rows.groupBy("x").count().withColumnRenamed("count", "n"), "x").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
 
 
 def test_spearman_leaves_out_unknown_pairs(spark):
