@@ -27,7 +27,7 @@ def coverage(args, spark) -> None:
     cover = profile.coverage(counts)
     archives.write_csv(cover, args.out)
     if args.per_quarter_out:
-        archives.write_csv(counts, args.per_quarter_out)
+        archives.write_csv(profile.part_coverage(counts), args.per_quarter_out)
     if args.models_out:
         archives.write_csv(profile.model_counts(text), args.models_out)
     if args.columns_out:

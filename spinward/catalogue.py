@@ -214,7 +214,7 @@ def model_counts(spark, sf):
 
 
 @query("""WITH p AS (SELECT *, regexp_matches(p_name, '(?i)red|bolt') AS hit FROM part)
-    SELECT coalesce(p_type, 'TOTAL') AS p_type, count(*) AS rows_in, count_if(NOT hit) AS rows_kept, count_if(hit) AS rows_dropped, count_if(NOT hit AND p_size > 45) AS failures,
+    SELECT coalesce(p_type, 'TOTAL') AS p_type, count(*) AS rows_in, count_if(NOT hit) AS rows_kept, count_if(hit) AS rows_dropped, round(100.0 * count_if(hit) / count(*), 3) AS dropped_pct, count_if(NOT hit AND p_size > 45) AS failures,
     CAST(CASE WHEN count_if(NOT hit AND p_size > 45) > 0 THEN count_if(NOT hit) // count_if(NOT hit AND p_size > 45) END AS BIGINT) AS one_in FROM p GROUP BY ROLLUP (p_type)""")
 def quarter_rollup_report(spark, sf):
     return P.quarter_report(D.read(spark, sf, "part"), "p_type", dropped=C.has_marker(F.col("p_name"), ("red", "bolt")), failed=F.col("p_size") > 45)
@@ -560,6 +560,9 @@ _CHECKS = f"""WITH {D.SAMPLED_SQL}, n AS (SELECT count_if(label = 0) AS neg, cou
     miss AS (SELECT greatest(avg(CAST(smart_5_raw_last IS NULL AS INT)), avg(CAST(smart_9_raw_last IS NULL AS INT))) AS x, count_if(smart_5_raw_last < 0) + count_if(smart_9_raw_last < 0) AS neg, avg(CAST(smart_9_raw_last BETWEEN 0 AND 100 AS INT)) AS r FROM smp),
     c AS ({" UNION ALL ".join(f"SELECT 'unique keys in {s}' AS \"check\", (SELECT count(*) - count(DISTINCT serial_number || '#' || \"window\") FROM smp WHERE split = '{s}') = 0 AS good, CAST((SELECT count(*) - count(DISTINCT serial_number || '#' || \"window\") FROM smp WHERE split = '{s}') AS DOUBLE) AS evidence" for s in ("train", "calib", "test"))}
     UNION ALL SELECT 'splits share no row', (SELECT count(*) FROM (SELECT 1 FROM smp GROUP BY serial_number, "window" HAVING count(DISTINCT split) > 1)) = 0, CAST((SELECT count(*) FROM (SELECT 1 FROM smp GROUP BY serial_number, "window" HAVING count(DISTINCT split) > 1)) AS DOUBLE)
+    UNION ALL SELECT 'splits are apart in time', g > 0, g FROM (SELECT CAST(least(min("window") FILTER (WHERE split = 'calib') - max("window") FILTER (WHERE split = 'train'), min("window") FILTER (WHERE split = 'test') - max("window") FILTER (WHERE split = 'calib')) AS DOUBLE) AS g FROM smp)
+    UNION ALL SELECT 'labels are last in ' || s, x > 0.995, x FROM (SELECT s, (SELECT count_if("window" = mw) / CAST(nullif(count(*), 0) AS DOUBLE) FROM (SELECT *, max("window") OVER (PARTITION BY serial_number) AS mw FROM smp WHERE split = s) WHERE label = 1) AS x FROM (VALUES ('train'), ('calib')) v(s))
+    UNION ALL SELECT 'hours follow the calendar', m > 0.95 AND m < 1.05, m FROM (SELECT quantile_cont(smart_9_raw_delta / 48.0, 0.5) AS m FROM smp WHERE split = 'train' AND days_span = 2)
     UNION ALL SELECT 'negatives per positive', neg = round_even(pos * 3.0, 0), neg / CAST(nullif(pos, 0) AS DOUBLE) FROM n
     UNION ALL SELECT 'failures are last windows', x > 0.995, x FROM last
     UNION ALL SELECT 'smart_9_raw_last in range', r = 1, r FROM miss
@@ -571,7 +574,7 @@ _CHECKS = f"""WITH {D.SAMPLED_SQL}, n AS (SELECT count_if(label = 0) AS neg, cou
 @query(_CHECKS)
 def audit_checks(spark, sf):
     rows = W.modeling_table(D.daily(spark, sf), D.GRID)
-    return A.audit(rows, D.windows(spark, sf), neg_ratio=D.GRID.neg_ratio, ranges={"smart_9_raw_last": (0, 100)}, counters=["smart_5_raw_last", "smart_9_raw_last"])
+    return A.audit(rows, D.windows(spark, sf), neg_ratio=D.GRID.neg_ratio, ranges={"smart_9_raw_last": (0, 100)}, counters=["smart_5_raw_last", "smart_9_raw_last"], hours=("smart_9_raw_delta", 2))
 
 
 @query(f"""WITH {D.WINDOWS_SQL}, m AS (SELECT *, max("window") OVER (PARTITION BY serial_number) AS mw FROM win WHERE TRUE)
@@ -718,11 +721,42 @@ def time_folds(spark, sf):
     return X.fold_table(D.rows(spark, sf))
 
 
-@query(f"""WITH {D.SCORED_SQL} SELECT id, device, CASE WHEN CAST('0x' || substr(md5(concat_ws('#', 42, device)), 1, 8) AS BIGINT) < 2147483648 THEN 'A' ELSE 'B' END AS half FROM scored""")
+@query(f"""WITH {D.SCORED_SQL}, g AS (SELECT device, row_number() OVER (ORDER BY md5(concat_ws('#', 42, device))) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT device FROM scored))
+    SELECT id, device, CASE WHEN r <= ceil(n / 2.0) THEN 'A' ELSE 'B' END AS half FROM scored JOIN g USING (device)""")
 def group_half_split(spark, sf):
     return X.group_halves(D.scored(spark, sf).select("id", "device"), "device")
 
 
+@query(f"""WITH {D.ROWS_SQL}, g AS (SELECT max("window") AS w FROM rws) SELECT 'train' AS part, count(*) AS n, min("window") AS first, max("window") AS last FROM rws WHERE "window" <= 3
+    UNION ALL SELECT 'valid', count(*), min("window"), max("window") FROM rws WHERE "window" >= 5""")
+def manual_fold(spark, sf):
+    train, valid = X.manual_fold(D.rows(spark, sf).select("window"), 3, 5)
+    parts = [df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.min("window").alias("first"), F.max("window").alias("last")) for name, df in (("train", train), ("valid", valid))]
+    return parts[0].unionByName(parts[1])
+
+
+_BASELINE = [f"{s}_{e}" for s in D.SENSORS for e in X.STATS]
+
+
+@query(f"""WITH {D.ROWS_SQL} SELECT serial_number, "window", label, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _BASELINE)}, CAST(CASE WHEN capacity_bytes > 0 THEN capacity_bytes END AS DOUBLE) AS capacity_bytes, CAST(days_observed AS DOUBLE) AS days_observed, CAST(days_span AS DOUBLE) AS days_span, {D.VENDOR_SQL.format('model')} AS vendor FROM rws""")
+def baseline_matrix(spark, sf):
+    return X.baseline_matrix(D.rows(spark, sf), _BASELINE)
+
+
+_SCORES = "(VALUES ('smart_5_raw_last', 0.2), ('smart_9_raw_delta', 0.1), ('smart_9_normalized_last', 0.4), ('days_span', 0.05)) v(feature, mi)"
+
+
+@query(f"SELECT CASE WHEN feature LIKE '%\\_normalized\\_%' ESCAPE '\\' THEN 'normalized' WHEN feature LIKE '%\\_raw\\_%' ESCAPE '\\' THEN 'raw' ELSE 'metadata' END AS family, round(sum(CAST(mi AS DOUBLE)), 6) AS total, round(avg(CAST(mi AS DOUBLE)), 6) AS mean, CAST(max(mi) AS DOUBLE) AS greatest FROM {_SCORES} GROUP BY 1")
+def family_scores(spark, sf):
+    return S.family_scores(spark.sql(f"SELECT feature, CAST(mi AS DOUBLE) AS mi FROM {_SCORES}"))
+
+
+@query(f"""WITH {D.LABELLED_SQL}, o AS (SELECT count_if(smart_9_raw_last > 0 AND label = 0) AS b, count_if(smart_9_raw_last = 0 AND label = 0) AS d, count_if(smart_9_raw_last > 0 AND label = 1) AS a, count_if(smart_9_raw_last = 0 AND label = 1) AS c FROM lab)
+    SELECT 'smart_9_raw_last' AS feature, CASE WHEN coalesce(b / CAST(nullif(b + d, 0) AS DOUBLE), 0) <= 0.95 THEN round(CAST((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)) AS DOUBLE), 6) END AS odds_ratio FROM o""")
+def constant_odds(spark, sf):
+    return S.without_constant_odds(S.odds_ratios(D.labelled(spark, sf), ["smart_9_raw_last"], y())).select("feature", "odds_ratio")
+
+
 # --- models: rows only
 
 

@@ -102,6 +102,12 @@ def quarter_of(path: Column) -> Column:
     return F.regexp_replace(stem, "^data_", "")
 
 
+def quarter_order(quarter: Column) -> Column:
+    """Orders names like Q1_2023 by year, then by quarter; other names come first, by themselves."""
+    year, n = F.regexp_extract(quarter, r"(\d{4})", 1), F.regexp_extract(quarter, r"(?i)Q(\d)", 1)
+    return F.struct(year.alias("year"), n.alias("n"), quarter.alias("name"))
+
+
 def order_digest(seed: int, *keys: str) -> Column:
     """A number that orders rows at random, the same in every run and for every partitioning."""
     return F.md5(F.concat_ws("#", F.lit(seed), *[F.col(k).cast("string") for k in keys]))

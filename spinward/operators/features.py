@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spinward.functions.columns import VENDORS, capacity_tb, known_capacity, order_digest, signed_log, vendor
@@ -20,14 +20,18 @@ STATS = ("first", "last", "delta")
 NUMERIC = tuple(f"smart_{i}_raw_{s}" for i in FEATURE_SMART_IDS for s in STATS) + ("smart_9_raw_last", "capacity_tb", "days_observed")
 
 
+BASELINE = tuple(f"smart_{i}_raw_{s}" for i in BASELINE_SMART_IDS for s in STATS)
+
+
 def feature_matrix(rows: DataFrame, numeric: Sequence[str] = NUMERIC, *, keep: Sequence[str] = ("serial_number", "window", "label")) -> DataFrame:
     """Keys, label, numeric inputs and the vendor; capacities in whole terabytes, unknown ones null."""
     out = rows.withColumn("capacity_tb", capacity_tb(F.col("capacity_bytes"))).withColumn("vendor", vendor(F.coalesce("model", F.lit(""))))
     return out.select(*keep, *[F.col(c).cast("double").alias(c) for c in numeric], "vendor")
 
 
-def baseline_matrix(rows: DataFrame, *, keep: Sequence[str] = ("serial_number", "window", "label")) -> DataFrame:
-    numeric = [f"smart_{i}_raw_{s}" for i in BASELINE_SMART_IDS for s in STATS]
+def baseline_matrix(rows: DataFrame, sensors: Sequence[str] = BASELINE, *, keep: Sequence[str] = ("serial_number", "window", "label")) -> DataFrame:
+    """Keys, label, raw sensors, capacity in bytes, days and the vendor."""
+    numeric = list(sensors)
     out = rows.withColumn("capacity_bytes", known_capacity(F.col("capacity_bytes"))).withColumn("vendor", vendor(F.coalesce("model", F.lit(""))))
     return out.select(*keep, *[F.col(c).cast("double").alias(c) for c in (*numeric, "capacity_bytes", "days_observed", "days_span")], "vendor")
 
@@ -108,7 +112,28 @@ def fold_table(rows: DataFrame, n_folds: int = 4, gap: int = 1) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "fold int, part string, window int")
 
 
+def manual_fold(rows: DataFrame, last_train: int, first_valid: int) -> tuple[DataFrame, DataFrame]:
+    """Training rows up to one window, validation rows from another on; windows between them are the gap."""
+    if first_valid <= last_train:
+        raise ValueError("validation starts after training")
+    return rows.where(F.col("window") <= last_train), rows.where(F.col("window") >= first_valid)
+
+
 def group_halves(rows: DataFrame, group: str, seed: int = 42) -> DataFrame:
-    """Half A or B by group: those in the lower half of all digests, which is half of the groups but for chance."""
-    digest = F.conv(F.substring(order_digest(seed, group), 1, 8), 16, 10).cast("long")
-    return rows.withColumn("half", F.when(digest < 2**31, "A").otherwise("B"))
+    """Half A or B by group: A has the groups of least digest, as many as B or one more. Rows without a group are of B.
+
+    Groups are counted by prefix of their digest; only those of the prefix where the middle falls are ranked.
+    """
+    digest = F.when(F.col(group).isNotNull(), order_digest(seed, group))
+    groups = rows.where(F.col(group).isNotNull()).select(digest.alias("_digest")).distinct()
+    prefix = F.substring("_digest", 1, 4).alias("_prefix")
+    counts = groups.groupBy(prefix).agg(F.count("*").alias("n"))  # 65,536 rows at most
+    all_, by = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("_prefix")
+    half = F.ceil(F.sum("n").over(all_) / 2).alias("_half")
+    marks = counts.select("_prefix", "n", half, (F.sum("n").over(by) - F.col("n")).alias("_before"))
+    edge = marks.where("_before < _half AND _before + n >= _half").select(F.col("_prefix").alias("_edge"), (F.col("_half") - F.col("_before")).alias("_left"))
+    near = groups.select("_digest", prefix).join(F.broadcast(edge), F.col("_prefix") == F.col("_edge"))  # one row
+    rank = F.row_number().over(Window.partitionBy("_edge").orderBy("_digest"))
+    middle = near.withColumn("_rank", rank).where("_rank = _left").select(F.col("_digest").alias("_middle"))
+    out = rows.join(F.broadcast(middle), F.lit(True), "left")  # one row, or none without groups
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(digest <= F.col("_middle"), "A").otherwise("B").alias("half"))

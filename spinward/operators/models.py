@@ -6,6 +6,7 @@ indicators, since MLlib has no routing of missing values.
 
 from __future__ import annotations
 
+import ast
 import itertools
 import math
 import random
@@ -152,6 +153,16 @@ def search(rows: DataFrame, make: Callable[..., Fit], grid: dict[str, Sequence],
     return rows.sparkSession.createDataFrame([(*r, k) for r, k in zip(out, ranks, strict=True)], schema)
 
 
+def refit(rows: DataFrame, make: Callable[..., Fit], ranked: DataFrame, numeric: Sequence[str], **prepare: bool) -> tuple[dict, Model, list[DataFrame]]:
+    """The best parameters of a search by PR-AUC, a model fitted with them on all rows, and the rows as it takes them."""
+    best = ast.literal_eval(ranked.orderBy(F.desc("pr_auc"), "params").first().params)
+    train = prepared(rows, [], numeric, **prepare)[0].cache()
+    try:
+        return best, make(**best)(train), [train]
+    finally:
+        train.unpersist()
+
+
 def platt(scored: DataFrame, half: str = "half", prob: str = "prob") -> DataFrame:
     """Probabilities of half B calibrated by a logistic model of the log odds, fitted on half A."""
     p = F.greatest(F.least(F.col(prob), F.lit(1 - 1e-6)), F.lit(1e-6))

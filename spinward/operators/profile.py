@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spinward.functions.columns import has_marker
+from spinward.functions.columns import has_marker, quarter_order
 from spinward.operators.ranks import quantiles, unpivoted
 
 
@@ -27,6 +27,13 @@ def coverage(counts: DataFrame, *, sensor_prefix: str = "smart_") -> DataFrame:
     return out.orderBy("is_smart", F.desc("coverage_pct"), "column")
 
 
+def part_coverage(counts: DataFrame, part: str = "quarter", *, sensor_prefix: str = "smart_") -> DataFrame:
+    """The coverage of every column in every part, in order of quarters."""
+    pct = F.bround(100.0 * F.col("non_null_rows") / F.nullif("total_rows", F.lit(0)), 2)
+    out = counts.select(part, "column", "non_null_rows", "total_rows", pct.alias("coverage_pct"), F.startswith(F.col("column"), F.lit(sensor_prefix)).alias("is_smart"))
+    return out.orderBy(quarter_order(F.col(part)), "is_smart", F.desc("coverage_pct"), "column")
+
+
 def presence(headers: DataFrame, parts: Sequence[str]) -> DataFrame:
     """Columns that some part lacks: (column, quarters_present, missing_from). headers: (quarter, column) of the files' headers."""
     every = F.array(*[F.lit(p) for p in sorted(parts)])
@@ -57,10 +64,12 @@ def marked_share(df: DataFrame, model: Column, markers: Sequence[str]) -> DataFr
 
 
 def quarter_report(df: DataFrame, part: str, *, dropped: Column, failed: Column) -> DataFrame:
-    """Rows in, kept, dropped and failures of each part, with a row of totals whose part is `TOTAL`."""
+    """Rows in, kept, dropped (and their share) and failures of each part, in order of quarters, with a last row `TOTAL`."""
     out = df.rollup(part).agg(F.count("*").alias("rows_in"), F.count_if(~dropped).alias("rows_kept"), F.count_if(dropped).alias("rows_dropped"), F.count_if(~dropped & failed).alias("failures"), F.grouping(part).alias("_all"))
     name = F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(part))
-    return out.select(name.alias(part), "rows_in", "rows_kept", "rows_dropped", "failures", F.floor(F.try_divide("rows_kept", "failures")).cast("long").alias("one_in"))
+    pct = F.round(100.0 * F.col("rows_dropped") / F.nullif("rows_in", F.lit(0)), 3)
+    rows = out.orderBy("_all", quarter_order(F.col(part)))
+    return rows.select(name.alias(part), "rows_in", "rows_kept", "rows_dropped", pct.alias("dropped_pct"), "failures", F.floor(F.try_divide("rows_kept", "failures")).cast("long").alias("one_in"))
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -147,6 +147,19 @@ def signal_table(df: DataFrame, pairs: Sequence[tuple[str, str]], label: Column)
     return names.join(F.broadcast(level), "level").join(F.broadcast(change), "change").join(F.broadcast(lift), "change").select("level", "change", "auc_level", "auc_change", "share_failed", "share_healthy", "lift")
 
 
+def family_scores(scores: DataFrame, score: str = "mi") -> DataFrame:
+    """(family, total, mean, greatest) of features' scores by what their names say: normalized, raw or metadata."""
+    name = F.col("feature")
+    family = F.when(F.contains(name, F.lit("_normalized_")), "normalized").when(F.contains(name, F.lit("_raw_")), "raw").otherwise("metadata")
+    return scores.groupBy(family.alias("family")).agg(F.sum(score).alias("total"), F.avg(score).alias("mean"), F.max(score).alias("greatest"))
+
+
+def without_constant_odds(odds: DataFrame, limit: float = 0.95) -> DataFrame:
+    """The odds table, without ratio and limits where more than `limit` of the healthy rows are above 0: they say nothing there."""
+    always = F.try_divide(F.col("b"), F.col("b") + F.col("d")) > limit
+    return odds.select(*[F.when(~F.coalesce(always, F.lit(False)), F.col(c)).alias(c) if c in ("odds_ratio", "low", "high") else F.col(c) for c in odds.columns])
+
+
 def distinct_levels(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """How many values the raw and the normalised form of a sensor take, and the ratio; the mode of the latter and its share."""
     out = None

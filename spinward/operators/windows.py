@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spinward.functions.columns import ID_COLUMNS, grid_index, order_digest
@@ -198,6 +198,16 @@ def split_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_splits(rows: DataFrame, path: str, *, codec: str = "zstd") -> None:
-    """One folder for each split, rows in order of window and device within files."""
-    rows.repartition("split", "window").sortWithinPartitions("window", "serial_number").write.mode("overwrite").partitionBy("split").option("compression", codec).parquet(path)
+def write_splits(rows: DataFrame, path: str, *, codec: str = "zstd", one_file: bool = False) -> None:
+    """One folder for each split, rows in order of window and device within files; `one_file` makes it one sorted file a split.
+
+    One file is for splits of a size that one task can sort, as in the published tables; by default a window is a task's.
+    """
+    dealt = rows.repartition("split") if one_file else rows.repartition("split", "window")
+    dealt.sortWithinPartitions("split", "window", "serial_number").write.mode("overwrite").partitionBy("split").option("compression", codec).parquet(path)
+
+
+def split_files(spark: SparkSession, path: str) -> DataFrame:
+    """(split, files, bytes) of what write_splits wrote, from the names and sizes of files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.groupBy(F.regexp_extract("path", "/split=([^/]+)/", 1).alias("split")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
