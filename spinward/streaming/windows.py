@@ -26,7 +26,7 @@ def stream_windows(snapshots: DataFrame, sensors: list[str], grid: Grid, *, time
         *ends,
         F.min(time_col).alias("first_seen"),
         F.max(time_col).alias("last_seen"),
-        *[F.bit_or(F.when((day >= lo) & (day < lo + 63), F.shiftleft(F.lit(1).cast("long"), (day - lo).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"_days{lo}") for lo in marks],
+        *[F.bit_or(F.when((day >= lo) & (day < lo + 63), F.call_function("shiftleft", F.lit(1).cast("long"), (day - lo).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"_days{lo}") for lo in marks],
         F.max("failure").alias("failed_in_window"),
     )
     number = F.floor(F.datediff(F.to_date("span.start"), F.lit(grid.epoch).cast("date")) / grid.window_days).cast("int")
