@@ -1,6 +1,6 @@
 """Operator 8, WARC: archives written as one gzip stream, normalised to a gzip member per record, indexed and read back.
 
-`write_archives` writes the records of each partition to one file that is a single gzip stream. `normalise` inflates such
+`write_archives` writes the records of each partition to files of bounded size, each a single gzip stream. `normalise` inflates such
 a file once, as a stream, writes every record as a member of its own and beside the file an index of offsets.
 `read_records` takes rows of the index and inflates single members. No step holds more than one record in memory.
 Files go to the folder that driver and executors share. Each attempt of a task writes files of its own names, and only
@@ -72,22 +72,31 @@ def _create(uri: str):
     return files.open_output_stream(path, compression=None)
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """(archive, records) of the files written: one gzip stream for each partition that has rows."""
+def write_archives(records: DataFrame, folder: str, *, archive_bytes: int = 1 << 30) -> DataFrame:
+    """(archive, records) of the files written: gzip streams, each closed once it has `archive_bytes`, so that no later task
+    reads more than that and one record."""
     bounded_batches(records.sparkSession, 256)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n, name = None, 0, f"{folder}/whole-{uuid.uuid4().hex}.warc.gz"
-        gzip = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out, n, size, name, gzip = None, 0, 0, "", None
+
+        def close() -> pa.RecordBatch:
+            out.write(gzip.flush())
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
+
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out = out or _create(name)
-                out.write(gzip.compress(record_bytes(*row)))
+                if out is None:
+                    name, gzip, n, size = f"{folder}/whole-{uuid.uuid4().hex}.warc.gz", zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
+                    out = _create(name)
+                size += out.write(gzip.compress(record_bytes(*row))) or 0
                 n += 1
-        if out:
-            out.write(gzip.flush())
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
+                if size >= archive_bytes:
+                    yield close()
+                    out = None
+        if out is not None:
+            yield close()
 
     return records.select("id", "url", "payload", "record_type", "refers_to").mapInArrow(write, "archive string, records long")
 
@@ -215,10 +224,10 @@ def read_records(index: DataFrame) -> DataFrame:
     return index.select("archive", "offset", "length").mapInArrow(read, "record_id string, record_type string, target string, payload binary, payload_bytes long, payload_digest string, refers_to string")
 
 
-def round_trip(pages: DataFrame, *, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes an archive per partition, normalises the archives and returns what read_records reads of them."""
+def round_trip(pages: DataFrame, *, least_bytes: int = 0, archive_bytes: int = 1 << 30, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Writes archives, normalises the archives and returns what read_records reads of them."""
     folder = shared_dir(pages.sparkSession, "warc")
-    archives = cut(write_archives(plan_records(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, least_bytes=least_bytes), folder), "warc-archives")
+    archives = cut(write_archives(plan_records(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, least_bytes=least_bytes), folder, archive_bytes=archive_bytes), "warc-archives")
     files = max(1, archives.count())
     index = normalise(archives.repartition(files), folder, remove=True)
     return read_records(index.repartition(files, "archive").sortWithinPartitions("archive", "offset"))

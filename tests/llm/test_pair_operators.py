@@ -210,7 +210,7 @@ def test_warc_equals_its_sql(spark, sf_dir):
 
 def test_warc_revisits_and_edge_cases(spark):
     rows = [(1, "http://a/", "same"), (5, "http://b/\r\nX: y", "same"), (3, None, "same"), (2, "u", None), (4, "v", ""), (None, "w", "same"), (None, "w", "lone"), (7, "r", "é\r\n\r\nWARC/1.1"), (7, "r", "é\r\n\r\nWARC/1.1")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "y")
+    pages = spark.createDataFrame([(*r, "v", "v", "v", "v") for r in rows], "page_id long, url string, html string, id string, payload string, record_type string, digest string")
     got = warc.round_trip(pages).collect()
     facts = Counter((r.record_id, r.record_type, r.payload_bytes, r.refers_to) for r in got)
     u = "<urn:page:{}>".format
@@ -222,6 +222,16 @@ def test_warc_revisits_and_edge_cases(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_closed_at_their_size(spark):
+    rows = [(i, f"http://h/{i}", "".join(chr(33 + (i * k * k) % 90) for k in range(3000))) for i in range(40)] + [(99, "http://long/", "é" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    records = warc.plan_records(pages)
+    made = warc.write_archives(records, warc.shared_dir(spark, "few"), archive_bytes=5000).collect()
+    assert len(made) > 3 and sum(r.records for r in made) == len(rows)
+    got = {r.record_id: r.payload for r in warc.round_trip(pages, archive_bytes=5000).collect()}
+    assert {f"<urn:page:{i}>": t.encode() for i, _, t in rows} == {k: bytes(v) for k, v in got.items()}
+
+
 def test_the_normaliser_streams_any_members(tmp_path):
     records = [warc.record_bytes(i, f"http://h/{i}", b"x" * i * 70_000, "response", None) for i in range(5)]
     def gz(b):
