@@ -17,6 +17,7 @@ not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -79,7 +80,7 @@ FILE_TEMPLATES = (*SHORT_FILES, *_DERIVED, *LONG_FILES)
 
 def lowered(text: Column) -> Column:
     """Lower-cased, with the words of a tag as one."""
-    return F.regexp_replace(F.lower(text), "spdx-license-identifier", TAG)
+    return F.replace(F.lower(text), F.lit("spdx-license-identifier"), F.lit(TAG))
 
 
 def words_of(text: Column) -> Column:
@@ -125,6 +126,14 @@ class LicenseModel:
                 out.append(w)
         return out
 
+    def least_terms(self) -> int:
+        """So many distinct terms of the templates a text must have, by the same inequality."""
+        out = []
+        for v in (self.vector(t) for _, t in self.templates):
+            sums = list(itertools.accumulate(sorted((x * x for x in v.values()), reverse=True)))
+            out.append(1 + sum(x < (self.threshold - 1e-6) ** 2 for x in sums))
+        return min(out, default=1)
+
 
 def fit_licenses(docs: DataFrame, *, text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, file_templates: tuple[tuple[str, str], ...] = FILE_TEMPLATES, threshold: float = 0.6) -> LicenseModel:
     """Document frequencies of the templates' terms, over all of docs; a row for each term comes to the driver."""
@@ -144,9 +153,14 @@ def license_matches(docs: DataFrame, model: LicenseModel, *, text_col: str = "te
     Without `by_line`, whole texts only. key is a digest of the text: rows of equal text are looked at once.
     """
     spark = docs.sparkSession
-    anchor = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, model.anchors()))})(?![a-z0-9])"
-    text = F.col(f"`{text_col}`")
-    some = docs.where(lowered(text).rlike(anchor)).select(F.md5(text.cast("binary")).alias("key"), text.alias("text")).dropDuplicates(["key"])
+    anchors, text = model.anchors(), F.col(f"`{text_col}`")
+    anchor = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors))})(?![a-z0-9])"
+    if by_line:
+        maybe = lowered(text).rlike(anchor)
+    else:  # long templates have hundreds of anchors, but a text needs many of their terms
+        terms = F.array_intersect(F.split(lowered(text), "[^a-z0-9]+"), F.split(F.lit(" ".join(sorted(model.idf))), " "))
+        maybe = (F.size(terms) >= model.least_terms()) & F.arrays_overlap(terms, F.split(F.lit(" ".join(anchors)), " "))
+    some = docs.where(maybe).select(F.md5(text.cast("binary")).alias("key"), text.alias("text")).dropDuplicates(["key"])
     lines = some.select("key", F.posexplode(units_of(F.col("text"))).alias("unit", "unit_text")).where(lowered(F.col("unit_text")).rlike(anchor))
     whole = some.select("key", F.lit(-1).alias("unit"), F.col("text").alias("unit_text"))
     units = lines.unionByName(whole) if by_line else whole

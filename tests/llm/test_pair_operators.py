@@ -107,6 +107,8 @@ def brute_leaks(docs, items):
                 continue
             size = min(5, len(other))
             want = Counter(shingles(item, size))
+            if not want.keys() & set(shingles(text, size)):
+                continue  # no window shares anything with the item
             n = min(len(own), len(other))
             for s in range(len(own) - n + 1):
                 got = Counter(tuple(own[s + k : s + k + size]) for k in range(n - size + 1)) if n >= size else Counter([tuple(own)])
