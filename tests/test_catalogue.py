@@ -48,7 +48,7 @@ def test_query_equals_its_sql(spark, sf_dir, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
 def test_other_queries_run(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).columns
+    assert QUERIES[name](spark, sf_dir).collect() is not None
 
 
 def test_no_python_in_queries_with_sql(spark, sf_dir):
