@@ -1,22 +1,16 @@
-"""Scores, splits, fingerprints and the whole pipeline against versions of their own, without the operators' code."""
+"""Scores, splits and fingerprints against versions of their own, without the operators' code."""
 
 import itertools
 import math
 import re
-import zlib
 
 import numpy as np
-import public_tokenizers as P
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-import corpus_pipeline
-from spinward.llm import bpe, imatch, quality, secrets, urls
+from spinward.llm import imatch, quality, urls
 from spinward.llm.queries import QUERIES
-from tests.llm.helpers import base_spans
-from tests.llm.test_pair_operators import brute_components, brute_leaks
-from tests.llm.test_text_operators import brute_random
 
 
 def log_density(x, own, scale, shrink=0.1, ridge=1e-3):
@@ -96,38 +90,3 @@ def test_fingerprints_and_likeness(spark, sf_dir):
             assert got[d].fingerprint == "".join(f"{x:08x}" for x in a) and got[d].edited_fingerprint == "".join(f"{x:08x}" for x in b)
             assert math.isclose(got[d].near_edited, brute_likeness(a, b)) and math.isclose(got[d].near_next, brute_likeness(a, c))
     assert seen > n / 2
-
-
-def test_the_whole_pipeline(spark, sf_dir):
-    import tiktoken
-
-    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
-    texts = dict(docs)
-    known = [d for d in labels if d in texts]
-    y = np.array([labels[d] for d in known])
-    features = lambda ids: np.array([quality.statistics(texts[d].encode()) for d in ids])
-    score = brute_scores(features(texts), features(known), y, (list(labels.values()).count(0), list(labels.values()).count(1)))
-    docs = [x for x, s in zip(docs, score) if s >= 0.5]
-    docs = [x for x in docs if str(x[0]) in {c for _, _, c in brute_components(docs)}]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    leaks = {d for d, _ in brute_leaks(docs, items)}
-    model = secrets.train_markov(secrets.labelled_samples(spark))
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    want = {}
-    for d, text in docs:
-        if d in leaks:
-            continue
-        covered = sorted(brute_random(model, text))
-        spans = [(a, b) for a, _, b, _ in base_spans(text)]
-        for _, run in itertools.groupby(enumerate(covered), lambda x: x[1] - x[0]):
-            run = [i for _, i in run]
-            spans.append((run[0], run[-1] + 1))
-        new, at = "", 0
-        for a, b in sorted(spans):
-            new += text[at:a] + "[SECRET]" if a >= at else ""
-            at = max(at, b)
-        want[d] = library.encode_ordinary(new + text[at:])
-    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    assert got == want
